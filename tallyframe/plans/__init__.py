@@ -1,0 +1 @@
+"""Specs, models, compiled SQL, metrics, lineage and the overlap graph."""
