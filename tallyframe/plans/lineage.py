@@ -133,31 +133,6 @@ def origins(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> Da
     return reached.groupBy("start", "origin").agg(F.min("hops").alias("hops"))
 
 
-def origins_by_node(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """:func:`origins` of every node that has an edge, hop by hop from the end.
-
-    Terminal sets are built once per node and shared by all that lead to it, so a
-    hub is expanded once however many trails pass through it.
-    """
-    step = edges.select("src", "dst").distinct()
-    ends = step.select(F.col("dst").alias("node")).distinct().join(
-        step.select(F.col("src").alias("node")).distinct(), "node", "left_anti"
-    )
-    known = ends.select("node", F.col("node").alias("origin"), F.lit(0).alias("hops"))
-    level, found = known, []
-    for _ in range(max_hops):
-        level = (
-            step.join(level, F.col("dst") == F.col("node"))
-            .select(F.col("src").alias("node"), "origin", (F.col("hops") + 1).alias("hops"))
-            .distinct()
-        )
-        found.append(level)
-    reached = reduce(DataFrame.unionByName, found)
-    return reached.groupBy("node", "origin").agg(F.min("hops").alias("hops")).select(
-        F.col("node").alias("start"), "origin", "hops"
-    )
-
-
 def impact(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``node, hops``: everything built from the starts, the whole downstream closure.
 

@@ -8,7 +8,10 @@ from tallyframe.sources.files import suffix_of
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    # Spark's own default would cut timestamps to milliseconds
+    stamp = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+    writer = df.write.mode(mode).option("header", True).option("escape", '"')
+    writer.option("timestampFormat", stamp).option("timestampNTZFormat", stamp).csv(path)
     return path
 
 
