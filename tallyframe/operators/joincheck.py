@@ -12,9 +12,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions import kinds
 from tallyframe.functions.evidence import plain
-from tallyframe.functions.text import count_where, flag_list, ratio
 from tallyframe.operators import keys as K
 from tallyframe.session import small_frame
 
@@ -63,13 +61,13 @@ class JoinCheck:
         """Every count the report is made of, as one row."""
         if self.plan.exact:
             return self.aligned().agg(
-                *_side_counts("l"), *_side_counts("r"), *_overlap_counts(self.n_keys)
+                *map(F.expr, _side_counts("l") + _side_counts("r") + _overlap_counts(self.n_keys))
             )
         # Own-type and compared-type groups differ, so each side is counted apart.
         parts = [
-            K.prefixed(self.side("left"), "l").agg(*_side_counts("l")),
-            K.prefixed(self.side("right"), "r").agg(*_side_counts("r")),
-            self.aligned().agg(*_overlap_counts(self.n_keys)),
+            K.prefixed(self.side("left"), "l").agg(*map(F.expr, _side_counts("l"))),
+            K.prefixed(self.side("right"), "r").agg(*map(F.expr, _side_counts("r"))),
+            self.aligned().agg(*map(F.expr, _overlap_counts(self.n_keys))),
         ]
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
@@ -173,7 +171,7 @@ class JoinCheck:
         key = [F.col(f"lk{i}") for i in range(self.n_keys)]
         return (
             pairs.where((F.col("ln") > 1) | (F.col("rn") > 1))
-            .orderBy(_product().desc(), *[c.asc_nulls_last() for c in key])
+            .orderBy(F.expr(_PRODUCT).desc(), *[c.asc_nulls_last() for c in key])
             .limit(EXAMPLE_KEYS)
             .select(
                 *[c.alias(n) for c, n in zip(key, self.keys.left)],
@@ -233,50 +231,43 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
 # --- aggregates over the aligned multiplicities ------------------------------
 
 
-def _product() -> Column:
-    # two bigints multiplied can pass 2^63, so the product is taken wide
-    return F.col("ln").cast("decimal(19,0)") * F.col("rn").cast("decimal(19,0)")
+# two bigints multiplied can pass 2^63, so the product is taken wide
+_PRODUCT = "CAST(ln AS DECIMAL(19, 0)) * CAST(rn AS DECIMAL(19, 0))"
 
 
-def _side_counts(s: str) -> list[Column]:
-    n, present = F.col(f"{s}n"), F.col(f"{s}k0").isNotNull()
-    zero = F.lit(0).cast("bigint")
+def _total(n: str, condition: str) -> str:
+    return f"coalesce(sum(CASE WHEN {condition} THEN {n} END), CAST(0 AS BIGINT))"
+
+
+def _side_counts(s: str) -> list[str]:
+    n, present = f"{s}n", f"{s}k0 IS NOT NULL"
     return [
-        F.coalesce(F.sum(n), zero).alias(f"{s}_rows"),
-        F.coalesce(F.sum(F.when(~present, n)), zero).alias(f"{s}_null_rows"),
-        count_where(present & n.isNotNull()).alias(f"{s}_distinct"),
-        count_where(present & (n > 1)).alias(f"{s}_duplicated"),
-        F.coalesce(F.max(F.when(present, n)), zero).alias(f"{s}_max"),
+        f"{_total(n, 'true')} AS {s}_rows",
+        f"{_total(n, f'{s}k0 IS NULL')} AS {s}_null_rows",
+        f"count_if({present} AND {n} IS NOT NULL) AS {s}_distinct",
+        f"count_if({present} AND {n} > 1) AS {s}_duplicated",
+        f"coalesce(max(CASE WHEN {present} THEN {n} END), CAST(0 AS BIGINT)) AS {s}_max",
     ]
 
 
-def _overlap_counts(n_keys: int) -> list[Column]:
-    ln, rn = F.col("ln"), F.col("rn")
-    shared = ln.isNotNull() & rn.isNotNull()
-    left_only = F.col("lk0").isNotNull() & rn.isNull()
-    right_only = F.col("rk0").isNotNull() & ln.isNull()
-    zero = F.lit(0).cast("bigint")
-    total = lambda cond, n: F.coalesce(F.sum(F.when(cond, n)), zero)
-    width = lambda s, cond: total(
-        cond,
-        reduce(
-            lambda a, b: a + b,
-            [F.octet_length(F.col(f"{s}k{i}").cast("string")) for i in range(n_keys)],
-        ).cast("bigint"),
-    )
+def _overlap_counts(n_keys: int) -> list[str]:
+    shared = "ln IS NOT NULL AND rn IS NOT NULL"
+    left_only, right_only = "lk0 IS NOT NULL AND rn IS NULL", "rk0 IS NOT NULL AND ln IS NULL"
+    width = lambda s: " + ".join(f"octet_length(CAST({s}k{i} AS STRING))" for i in range(n_keys))
+    largest = lambda n: f"coalesce(max(CASE WHEN {shared} THEN {n} END), CAST(0 AS BIGINT))"
     return [
-        F.coalesce(F.sum(F.when(shared, _product())), F.lit(0)).cast(_WIDE).alias("inner_rows"),
-        total(shared, ln).alias("matched_left"),
-        total(shared, rn).alias("matched_right"),
-        count_where(shared).alias("n_shared_keys"),
-        count_where(left_only).alias("n_left_only_keys"),
-        count_where(right_only).alias("n_right_only_keys"),
-        total(left_only, ln).alias("left_only_rows"),
-        total(right_only, rn).alias("right_only_rows"),
-        F.coalesce(F.max(F.when(shared, rn)), zero).alias("max_left_to_right"),
-        F.coalesce(F.max(F.when(shared, ln)), zero).alias("max_right_to_left"),
-        width("l", left_only).alias("left_only_key_bytes"),
-        width("r", right_only).alias("right_only_key_bytes"),
+        f"CAST(coalesce(sum(CASE WHEN {shared} THEN {_PRODUCT} END), 0) AS {_WIDE}) AS inner_rows",
+        f"{_total('ln', shared)} AS matched_left",
+        f"{_total('rn', shared)} AS matched_right",
+        f"count_if({shared}) AS n_shared_keys",
+        f"count_if({left_only}) AS n_left_only_keys",
+        f"count_if({right_only}) AS n_right_only_keys",
+        f"{_total('ln', left_only)} AS left_only_rows",
+        f"{_total('rn', right_only)} AS right_only_rows",
+        f"{largest('rn')} AS max_left_to_right",
+        f"{largest('ln')} AS max_right_to_left",
+        f"{_total(f'CAST({width('l')} AS BIGINT)', left_only)} AS left_only_key_bytes",
+        f"{_total(f'CAST({width('r')} AS BIGINT)', right_only)} AS right_only_key_bytes",
     ]
 
 
@@ -294,56 +285,49 @@ def _key_set_bytes(measured: dict, side: str, n_keys: int) -> int:
 
 def with_derived(m: DataFrame) -> DataFrame:
     """Coverage, relationship and row conservation, added to the counts."""
-    wide = lambda name: F.col(name).cast(_WIDE)
-    left_dropped = F.col("l_null_rows") + F.col("left_only_rows")
-    right_dropped = F.col("r_null_rows") + F.col("right_only_rows")
-    l_unique, r_unique = F.col("l_max") <= 1, F.col("r_max") <= 1
-    relationship = (
-        F.when(l_unique & r_unique, "1:1")
-        .when(l_unique, "1:many")
-        .when(r_unique, "many:1")
-        .otherwise("many:many")
+    share = lambda part, whole: (
+        f"CASE WHEN {whole} > 0 THEN CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE) ELSE 0D END"
     )
-    return m.select(
+    left_dropped, right_dropped = "l_null_rows + left_only_rows", "r_null_rows + right_only_rows"
+    return m.selectExpr(
         "*",
-        l_unique.alias("l_unique"),
-        r_unique.alias("r_unique"),
-        relationship.alias("relationship"),
-        left_dropped.alias("left_dropped"),
-        right_dropped.alias("right_dropped"),
-        ratio(F.col("matched_left"), F.col("l_rows")).alias("left_coverage"),
-        ratio(F.col("matched_right"), F.col("r_rows")).alias("right_coverage"),
-        ratio(F.col("inner_rows"), F.col("matched_left")).alias("result_per_matched_left"),
-        wide("inner_rows").alias("rows_inner"),
-        (wide("inner_rows") + left_dropped).cast(_WIDE).alias("rows_left"),
-        (wide("inner_rows") + right_dropped).cast(_WIDE).alias("rows_right"),
-        (wide("inner_rows") + left_dropped + right_dropped).cast(_WIDE).alias("rows_outer"),
+        "l_max <= 1 AS l_unique",
+        "r_max <= 1 AS r_unique",
+        "CASE WHEN l_max <= 1 AND r_max <= 1 THEN '1:1' WHEN l_max <= 1 THEN '1:many' "
+        "WHEN r_max <= 1 THEN 'many:1' ELSE 'many:many' END AS relationship",
+        f"{left_dropped} AS left_dropped",
+        f"{right_dropped} AS right_dropped",
+        f"{share('matched_left', 'l_rows')} AS left_coverage",
+        f"{share('matched_right', 'r_rows')} AS right_coverage",
+        f"{share('inner_rows', 'matched_left')} AS result_per_matched_left",
+        "inner_rows AS rows_inner",
+        f"CAST(inner_rows + {left_dropped} AS {_WIDE}) AS rows_left",
+        f"CAST(inner_rows + {right_dropped} AS {_WIDE}) AS rows_right",
+        f"CAST(inner_rows + {left_dropped} + {right_dropped} AS {_WIDE}) AS rows_outer",
     )
 
 
-def join_flags(comparable: bool) -> Column:
+def join_flags(comparable: bool) -> str:
     """What is notable about the join, in a fixed order."""
-    col = F.col
-    return flag_list(
-        ("key_dtype_mismatch", F.lit(not comparable)),
-        ("no_matches", col("inner_rows") == 0),
-        ("many_to_many", col("relationship") == "many:many"),
-        ("left_rows_dropped", col("left_dropped") > 0),
-        ("fan_out", F.greatest("max_left_to_right", "max_right_to_left") > 1),
-        ("null_keys", col("l_null_rows") + col("r_null_rows") > 0),
-        ("low_overlap", col("left_coverage") < LOW_COVERAGE),
-        ("right_rows_dropped", col("right_dropped") > 0),
-    )
-
-
-def _side_struct(s: str) -> Column:
-    return F.struct(
-        F.col(f"{s}_rows").alias("n_rows"),
-        F.col(f"{s}_null_rows").alias("n_null_keys"),
-        F.col(f"{s}_distinct").alias("n_distinct_keys"),
-        F.col(f"{s}_duplicated").alias("n_duplicated_keys"),
-        F.col(f"{s}_max").alias("max_key_multiplicity"),
-        F.col(f"{s}_unique").alias("unique_keys"),
+    conditions = {
+        "key_dtype_mismatch": str(not comparable).lower(),
+        "no_matches": "inner_rows = 0",
+        "many_to_many": "relationship = 'many:many'",
+        "left_rows_dropped": "left_dropped > 0",
+        "fan_out": "greatest(max_left_to_right, max_right_to_left) > 1",
+        "null_keys": "l_null_rows + r_null_rows > 0",
+        "low_overlap": f"left_coverage < {LOW_COVERAGE}",
+        "right_rows_dropped": "right_dropped > 0",
+    }
+    marks = ", ".join(f"CASE WHEN {c} THEN '{name}' END" for name, c in conditions.items())
+    return f"array_compact(array({marks}))"
+
+
+def _side_struct(s: str) -> str:
+    return (
+        f"named_struct('n_rows', {s}_rows, 'n_null_keys', {s}_null_rows, "
+        f"'n_distinct_keys', {s}_distinct, 'n_duplicated_keys', {s}_duplicated, "
+        f"'max_key_multiplicity', {s}_max, 'unique_keys', {s}_unique)"
     )
 
 
@@ -351,54 +335,49 @@ def _texts(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+# Which sides lose rows under each join type.
+_LOSES = {"inner": ("left", "right"), "left": ("right",), "right": ("left",), "outer": ()}
+
+
+def _join_struct(how: str, named: str = "") -> str:
+    dropped = lambda s: f"{s}_dropped" if s in _LOSES[how] else "CAST(0 AS BIGINT)"
+    return (
+        f"named_struct({named}'result_rows', rows_{how}, 'left_dropped', {dropped('left')}, "
+        f"'right_dropped', {dropped('right')})"
+    )
+
+
 def report_columns(m: DataFrame, keys: K.KeySpec, plan: K.KeyPlan) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    survives = {"left": ("inner", "right"), "right": ("inner", "left")}
-    joins = []
-    for how in HOWS:
-        dropped = [
-            (F.col(f"{side}_dropped") if how in survives[side] else zero).alias(f"{side}_dropped")
-            for side in ("left", "right")
-        ]
-        joins.append(F.struct(F.col(f"rows_{how}").alias("result_rows"), *dropped).alias(how))
-    return with_derived(m).select(
-        F.struct(_texts(keys.left).alias("left"), _texts(keys.right).alias("right")).alias("keys"),
-        _side_struct("l").alias("left"),
-        _side_struct("r").alias("right"),
-        F.struct(
-            _texts(plan.left_kinds).alias("left"), _texts(plan.right_kinds).alias("right")
-        ).alias("key_dtypes"),
-        F.lit(plan.comparable).alias("key_dtype_match"),
-        F.col("relationship"),
-        F.struct(
-            "n_shared_keys",
-            "n_left_only_keys",
-            "n_right_only_keys",
-            "left_coverage",
-            "right_coverage",
-        ).alias("overlap"),
-        F.struct("max_left_to_right", "max_right_to_left", "result_per_matched_left").alias(
-            "fan_out"
-        ),
-        F.struct(*joins).alias("joins"),
-        join_flags(plan.comparable).alias("flags"),
+    joins = ", ".join(f"'{how}', {_join_struct(how)}" for how in HOWS)
+    shown = with_derived(m).selectExpr(
+        f"{_side_struct('l')} AS left",
+        f"{_side_struct('r')} AS right",
+        f"{str(plan.comparable).lower()} AS key_dtype_match",
+        "relationship",
+        "struct(n_shared_keys, n_left_only_keys, n_right_only_keys, left_coverage, right_coverage) AS overlap",
+        "struct(max_left_to_right, max_right_to_left, result_per_matched_left) AS fan_out",
+        f"named_struct({joins}) AS joins",
+        f"{join_flags(plan.comparable)} AS flags",
+    )
+    pair = lambda a, b: F.struct(_texts(a).alias("left"), _texts(b).alias("right"))
+    return shown.select(
+        pair(keys.left, keys.right).alias("keys"),
+        "left",
+        "right",
+        pair(plan.left_kinds, plan.right_kinds).alias("key_dtypes"),
+        "key_dtype_match",
+        "relationship",
+        "overlap",
+        "fan_out",
+        "joins",
+        "flags",
     )
 
 
 def conservation_rows(m: DataFrame) -> DataFrame:
     """``how, result_rows, left_dropped, right_dropped``: four rows."""
-    zero = F.lit(0).cast("bigint")
-    lost = {"inner": (1, 1), "left": (0, 1), "right": (1, 0), "outer": (0, 0)}
-    rows = [
-        F.struct(
-            F.lit(how).alias("how"),
-            F.col(f"rows_{how}").alias("result_rows"),
-            (F.col("left_dropped") if lost[how][0] else zero).alias("left_dropped"),
-            (F.col("right_dropped") if lost[how][1] else zero).alias("right_dropped"),
-        )
-        for how in HOWS
-    ]
-    return with_derived(m).select(F.inline(F.array(*rows)))
+    rows = ", ".join(_join_struct(how, f"'how', '{how}', ") for how in HOWS)
+    return with_derived(m).selectExpr(f"inline(array({rows}))")
 
 
 def join_report(left, right, on=None, *, left_on=None, right_on=None) -> DataFrame:

@@ -6,39 +6,42 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.functions.text import ratio
-from tallyframe.operators.joincheck import JoinCheck
+from tallyframe.operators.joincheck import JoinCheck, with_derived
 
 
 def column_overlap(left: DataFrame, left_column: str, right: DataFrame, right_column: str,
                    *, left_table: str = "left", right_table: str = "right") -> DataFrame:
     """One row: both sides' counts, shared values, and a coverage each way."""
     check = JoinCheck(left, right, left_on=left_column, right_on=right_column)
-    sides = []
+    shown = []
     for s, table, column, kind in (
         ("l", left_table, left_column, check.plan.left_kinds[0]),
         ("r", right_table, right_column, check.plan.right_kinds[0]),
     ):
         word = "left" if s == "l" else "right"
-        sides += [
-            F.lit(table).alias(f"{word}_table"),
-            F.lit(column).alias(f"{word}_column"),
-            F.col(f"{s}_rows").alias(f"{word}_n_rows"),
-            F.col(f"{s}_null_rows").alias(f"{word}_n_null"),
-            F.col(f"{s}_distinct").alias(f"{word}_n_distinct"),
-            F.lit(kind).alias(f"{word}_type"),
+        shown += [
+            f"{_quoted(table)} AS {word}_table",
+            f"{_quoted(column)} AS {word}_column",
+            f"{s}_rows AS {word}_n_rows",
+            f"{s}_null_rows AS {word}_n_null",
+            f"{s}_distinct AS {word}_n_distinct",
+            f"'{kind}' AS {word}_type",
         ]
-    return check.measures().select(
-        *sides,
-        F.col("n_shared_keys").alias("n_shared_values"),
-        F.col("n_left_only_keys").alias("n_left_only_values"),
-        F.col("n_right_only_keys").alias("n_right_only_values"),
-        ratio(F.col("matched_left"), F.col("l_rows")).alias("left_coverage"),
-        ratio(F.col("matched_right"), F.col("r_rows")).alias("right_coverage"),
-        F.lit(check.plan.comparable).alias("comparable_types"),
+    return with_derived(check.measures()).selectExpr(
+        *shown,
+        "n_shared_keys AS n_shared_values",
+        "n_left_only_keys AS n_left_only_values",
+        "n_right_only_keys AS n_right_only_values",
+        "left_coverage",
+        "right_coverage",
+        f"{str(check.plan.comparable).lower()} AS comparable_types",
     )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def measure_overlaps(tables: dict[str, DataFrame], pairs: list[dict]) -> DataFrame:
     """Every pair measured, in one frame, each with the reason it was asked for.
 

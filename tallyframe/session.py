@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # branches of a union are independent here and should not share one task
+    "spark.sql.unionOutputPartitioning": "false",
     # a SQL step must not reach files by path; spark.read still can
     "spark.sql.runSQLOnFiles": "false",
 }
@@ -63,14 +66,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, into the shared checkpoint folder.
+    """Compute ``df`` once, as a Parquet table in the shared checkpoint folder.
 
-    Used where several jobs read one produced table. Reliable checkpointing
-    survives lost executors, which cached or local blocks would not without a
-    full recompute.
+    Used where several jobs read one produced table. A written table cuts the
+    lineage, survives lost executors, and later readers still load only the
+    columns they need. The cluster clears the folder as it does checkpoints.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hold(df: DataFrame) -> DataFrame:
