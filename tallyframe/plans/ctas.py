@@ -74,8 +74,9 @@ def select_sql(results) -> str:
     return "WITH " + ",\n".join(bodies) + f"\nSELECT * FROM {quoted(results[-1].id)}"
 
 
-def create_sql(model: str, results, *, fmt: str = "parquet") -> str:
-    return f"CREATE TABLE {quoted(model)} USING {fmt} AS\n{select_sql(results)}"
+def create_sql(model: str, results, *, fmt: str = "parquet", location: str | None = None) -> str:
+    place = f" LOCATION '{location}'" if location else ""
+    return f"CREATE TABLE {quoted(model)} USING {fmt}{place} AS\n{select_sql(results)}"
 
 
 def register_inputs(spark: SparkSession, results) -> list[str]:

@@ -8,10 +8,10 @@ from tallyframe.sources.files import suffix_of
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    # Spark's own default would cut timestamps to milliseconds
+    # Spark's own defaults would trim text and cut timestamps to milliseconds
     stamp = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
-    writer = df.write.mode(mode).option("header", True).option("escape", '"')
-    writer.option("timestampFormat", stamp).option("timestampNTZFormat", stamp).csv(path)
+    writer = df.write.mode(mode).options(timestampFormat=stamp, timestampNTZFormat=stamp)
+    writer.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 

@@ -129,7 +129,7 @@ def test_unmatched_rows_are_the_same_by_broadcast_and_by_shuffle(orders, custome
 keys = st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=12)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(left=keys, right=keys)
 def test_prediction_equals_reality_for_every_join_type(spark, left, right):
     """And the split plan gives the very rows of the plain one."""
