@@ -57,7 +57,7 @@ MODELS = {
 
 
 def spec_chain_revenue(spark, sf_dir):
-    return run_spec(spark, CHAIN, base_dir=sf_dir)[-1].df
+    return run_spec(spark, CHAIN, base_dir=sf_dir, pin_steps=True)[-1].df
 
 
 def spec_step_table(spark, sf_dir):
@@ -71,7 +71,7 @@ _SHOWN = ("input_rows", "input_rows.left", "input_rows.right", "result_rows", "p
 
 
 def _metrics(spark, sf_dir):
-    return run_metrics(spark, "run", "chain", run_spec(spark, CHAIN, base_dir=sf_dir))
+    return run_metrics(spark, "run", "chain", run_spec(spark, CHAIN, base_dir=sf_dir, pin_steps=True))
 
 
 def spec_metrics(spark, sf_dir):

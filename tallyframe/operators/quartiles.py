@@ -1,11 +1,12 @@
 """Exact quartiles of columns too large for one task to hold.
 
-Order statistics are found by narrowing. Each pass takes a quantile sketch over
-the rows still in question, whose values become split points around every wanted
-rank, and then counts exactly how many rows lie below each split point. A split
-point either is the wanted value or excludes one side of itself, so a poor sketch
-costs another pass, never a wrong answer. Once few enough rows are left in
-question their values are counted and the rank is read off.
+Order statistics are found by narrowing. Each pass proposes split points around
+every wanted rank, and then counts exactly, over all rows, how many lie below each.
+The proposals are quantiles of some of the rows still in question, so that the
+partial sketches of many partitions stay small; they decide only where to look. A
+split point either is the wanted value or excludes one side of itself, so a poor
+proposal costs another pass, never a wrong answer. Once few enough rows are left
+in question their values are counted and the rank is read off.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ PROBABILITIES = (0.25, 0.5, 0.75)
 # Sketch precision: a proposed bound lies within rows / SKETCH of its rank.
 SKETCH = 10_000
 MAX_PASSES = 200
+# Rows, about, that propose the split points of one interval.
+PROPOSING_ROWS = 1_000_000
 
 
 @dataclass
@@ -66,11 +69,11 @@ def distributed_quartiles(
         for low, high, _ in wanted_ranks(n):
             for rank in (low, high):
                 searches.setdefault((i, rank), _Search(i, rank, inside=n))
-    for _ in range(MAX_PASSES):
+    for attempt in range(MAX_PASSES):
         wide = [s for s in searches.values() if s.value is None and s.inside > limit]
         if not wide:
             break
-        _narrow(table, wide)
+        _narrow(table, wide, attempt)
     _read_off(table, [s for s in searches.values() if s.value is None])
     return {
         i: [
@@ -96,7 +99,7 @@ def _inside(interval: tuple) -> Column:
     return condition
 
 
-def _narrow(table: DataFrame, searches: list[_Search]) -> None:
+def _narrow(table: DataFrame, searches: list[_Search], seed: int) -> None:
     """Tighten every interval: one pass for split points, one for exact counts."""
     groups: dict[tuple, list[_Search]] = {}
     for s in searches:
@@ -108,16 +111,23 @@ def _narrow(table: DataFrame, searches: list[_Search]) -> None:
         for s in groups[interval]:
             p = (s.offset + 0.5) / s.inside
             around |= {max(0.0, round(p - 2 / SKETCH, 6)), min(1.0, round(p + 2 / SKETCH, 6))}
-        rows = F.when(_inside(interval), _column(interval[0]))
+        share = PROPOSING_ROWS / max(s.inside for s in groups[interval])
+        proposes = _inside(interval)
+        if share < 1:
+            proposes = proposes & (F.col("draw") < share)
+        rows = F.when(proposes, _column(interval[0]))
         sketches.append(F.percentile_approx(rows, sorted(around), SKETCH).alias(f"b{j}"))
-    proposed = _rows_of(table, intervals).agg(*sketches).first()
+    drawn = _rows_of(table, intervals).withColumn("draw", F.rand(seed))
+    proposed = drawn.agg(*sketches).first()
     counts, splits = [], []
     for j, interval in enumerate(intervals):
         c, inside = _column(interval[0]), _inside(interval)
-        splits.append(sorted(set(proposed[f"b{j}"])))
+        splits.append(sorted(set(proposed[f"b{j}"] or [])))
         for m, split in enumerate(splits[j]):
             counts.append(F.count(F.when(inside & (c < split), 1)).alias(f"lt{j}_{m}"))
             counts.append(F.count(F.when(inside & (c <= split), 1)).alias(f"le{j}_{m}"))
+    if not counts:  # no row happened to propose; the next pass draws others
+        return
     counted = _rows_of(table, intervals).agg(*counts).first()
     for j, interval in enumerate(intervals):
         for s in groups[interval]:

@@ -186,38 +186,38 @@ def _capped(df: DataFrame, relation: str, *order: str) -> DataFrame:
 
 
 def table_neighbourhood(nodes, edges, overlaps, table_id: str) -> DataFrame:
-    """What a table reads, is read by, belongs to, and was measured against."""
+    """What a table reads, is read by, belongs to, and was measured against.
+
+    A group has one row per member, named in ``member``; a capped relation ends in a
+    row whose ``not_shown`` says how many more there are.
+    """
     here = F.lit(table_id)
     tables = nodes.select(F.col("id").alias("other"), "label", "name", "key")
     none = F.lit(None).cast("bigint").alias("n_measured_pairs")
-    no_members = F.lit(None).cast("array<string>").alias("members")
 
     def follow(kind, near, far):
         hit = edges.where((F.col("kind") == kind) & (F.col(near) == here))
-        return hit.select(F.col(far).alias("other")).join(tables, "other")
-
-    plain = lambda df: df.select("label", "name", "key", none, no_members)
-    groups = follow("IN_GROUP", "src", "dst")
-    member = edges.where(F.col("kind") == "IN_GROUP").select(
-        F.col("src").alias("m"), F.col("dst").alias("other")
-    ).join(nodes.select(F.col("id").alias("m"), F.col("name").alias("member")), "m")
-    members = groups.join(member, "other").groupBy("label", "name", "key").agg(
-        F.array_sort(F.collect_set("member")).alias("members")
-    )
+        found = hit.select(F.col(far).alias("other")).join(tables, "other")
+        return found.select("other", "label", "name", "key", none)
+
     touching = overlaps.where(
         ((F.col("src_table") == here) | (F.col("dst_table") == here))
         & (F.col("src_table") != F.col("dst_table"))
     ).select(F.when(F.col("src_table") == here, F.col("dst_table")).otherwise(
         F.col("src_table")).alias("other"))
     counted = touching.groupBy("other").agg(F.count(F.lit(1)).alias("n_measured_pairs"))
-    parts = [
-        _capped(plain(follow("READS", "src", "dst")), "reads", "name"),
-        _capped(plain(follow("READS", "dst", "src")), "read_by", "name"),
-        _capped(members.select("label", "name", "key", none, "members"), "group", "name"),
-        _capped(counted.join(tables, "other").select(
-            "label", "name", "key", "n_measured_pairs", no_members), "overlaps", "name"),
+    counted = counted.join(tables, "other").select("other", "label", "name", "key", "n_measured_pairs")
+    near = [
+        _capped(follow("READS", "src", "dst"), "reads", "name"),
+        _capped(follow("READS", "dst", "src"), "read_by", "name"),
+        _capped(counted, "overlaps", "name"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    member = edges.where(F.col("kind") == "IN_GROUP").join(
+        nodes.select(F.col("id").alias("src"), F.col("name").alias("member")), "src"
+    ).select(F.col("dst").alias("other"), "member")
+    groups = _capped(follow("IN_GROUP", "src", "dst"), "group", "name").join(member, "other", "left")
+    near = reduce(DataFrame.unionByName, near).withColumn("member", F.lit(None).cast("string"))
+    return near.unionByName(groups).drop("other")
 
 
 def column_lineage(nodes, edges, column: str) -> DataFrame:

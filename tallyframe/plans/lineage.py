@@ -115,22 +115,30 @@ def unresolved(model_columns: DataFrame, composed: DataFrame) -> DataFrame:
 def origins(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """``start, origin, hops``: where each start's trail ends within ``max_hops``.
 
-    ``edges`` is ``src, dst``; ``starts`` is ``start``. Each hop is one join on the
-    frontier; a trail that reaches the same column twice is kept once.
+    ``edges`` is ``src, dst``; ``starts`` is ``start``. Every edge is marked once with
+    whether its far end leads on, so a hop is one join and one distinct. Hops are
+    pinned: the walk never recomputes itself and stops when no trail is left.
     """
-    step = edges.select("src", "dst").distinct()
-    inner = step.select(F.col("src").alias("node")).distinct()
-    frontier = starts.select("start", F.col("start").alias("node"))
+    leads_on = edges.select(F.col("src").alias("dst"), F.lit(True).alias("more")).distinct()
+    step = pin(edges.select("src", "dst").join(leads_on, "dst", "left").select("src", "dst", "more"))
+    frontier = starts.select("start", F.col("start").alias("node")).distinct()
     found = []
     for hop in range(1, max_hops + 1):
-        frontier = (
+        reached = pin(
             frontier.join(step, F.col("node") == F.col("src"))
-            .select("start", F.col("dst").alias("node")).distinct()
+            .select("start", F.col("dst").alias("node"), "more")
+            .distinct()
         )
-        ended = frontier.join(inner, "node", "left_anti")
-        found.append(ended.select("start", F.col("node").alias("origin"), F.lit(hop).alias("hops")))
-    reached = reduce(DataFrame.unionByName, found)
-    return reached.groupBy("start", "origin").agg(F.min("hops").alias("hops"))
+        found.append(
+            reached.where(F.col("more").isNull()).select(
+                "start", F.col("node").alias("origin"), F.lit(hop).alias("hops")
+            )
+        )
+        frontier = reached.where("more").select("start", "node")
+        if frontier.isEmpty():
+            break
+    trails = reduce(DataFrame.unionByName, found)
+    return trails.groupBy("start", "origin").agg(F.min("hops").alias("hops"))
 
 
 def impact(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -139,7 +147,7 @@ def impact(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) ->
     Each level is pinned, so the walk does not recompute itself, and ends when a
     level adds nothing new.
     """
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
+    back = pin(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")))
     seen = starts.select(F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()
     frontier, hop = seen, 0
     while max_hops is None or hop < max_hops:

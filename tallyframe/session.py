@@ -20,6 +20,7 @@ _RUNTIME = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # branches of a union are independent here and should not share one task
     "spark.sql.unionOutputPartitioning": "false",
@@ -74,7 +75,7 @@ def pin(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/pinned-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,13 +84,13 @@ def hold(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def small_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+def small_frame(spark: SparkSession, rows: list, schema: str | StructType) -> DataFrame:
     """Rows already on the driver (one per column, step or key shown) as a frame.
 
     Goes through Arrow, so Spark holds it as a local relation and needs no job to
     read it.
     """
-    struct = _parsed(schema)
+    struct = _parsed(schema) if isinstance(schema, str) else schema
     names = struct.fieldNames()
     table = pa.Table.from_pylist(
         [dict(zip(names, row)) for row in rows], schema=to_arrow_schema(struct)

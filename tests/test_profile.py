@@ -129,6 +129,7 @@ def test_a_poor_sketch_costs_passes_not_correctness(spark, monkeypatch):
     import tallyframe.operators.quartiles as Q
 
     monkeypatch.setattr(Q, "SKETCH", 3)
+    monkeypatch.setattr(Q, "PROPOSING_ROWS", 4)
     table = spark.range(500).selectExpr("pow(id, 3) AS c0")
     exact = table.selectExpr("percentile(c0, array(0.25, 0.5, 0.75))").first()[0]
     assert distributed_quartiles(table, {0: 500}, limit=5)[0] == pytest.approx(list(exact))
