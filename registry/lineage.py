@@ -33,8 +33,8 @@ def _graph(spark, sf_dir, measured: bool):
     composed = L.compose(steps, depth)
     reads = steps.select("model", "in_kind", "in_table").distinct()
     models = steps.select(F.col("model").alias("name")).distinct()
-    nodes = G.build_nodes(sources, columns, models, model_columns,
-                          unresolved=L.unresolved(model_columns, composed))
+    nodes = pin(G.build_nodes(sources, columns, models, model_columns,
+                              unresolved=L.unresolved(model_columns, composed)))
     edges = G.build_edges(nodes, reads, L.derives_from(composed))
     return nodes, edges
 
@@ -124,7 +124,7 @@ def _table_nodes(spark, sf_dir, tables=_MEASURED):
                                     "source string, name string")
     models = spark.createDataFrame([], "name string")
     built = spark.createDataFrame([], "model string, column string")
-    return G.build_nodes(sources, columns, models, built)
+    return pin(G.build_nodes(sources, columns, models, built))
 
 
 def _kept(spark, sf_dir, nodes):
@@ -134,7 +134,7 @@ def _kept(spark, sf_dir, nodes):
         F.when(F.col("name") == "customer", F.lit("before")).when(F.col("name") != "labels", F.col("fingerprint"))
         .alias("fingerprint"))
     records = pin(O.overlap_records(_measured(spark, sf_dir), prints))
-    return records, G.overlap_edges(records, nodes)
+    return records, pin(G.overlap_edges(records, nodes))
 
 
 def overlap_rollup(spark, sf_dir):

@@ -7,6 +7,7 @@ shuffle of its own.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 from operator import or_
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.evidence import plain
 from tallyframe.operators import keys as K
-from tallyframe.session import small_frame
+from tallyframe.session import hold, small_frame
 
 EXAMPLE_KEYS = 5
 EXAMPLE_ROWS = 3
@@ -36,15 +37,29 @@ class JoinCheck:
         self.plan = K.key_plan(left, right, self.keys)
         self.n_keys = len(self.keys.left)
         self._measured = None
+        self._held: dict[str, DataFrame] = {}
 
     # --- multiplicities ---------------------------------------------------
 
     def side(self, which: str) -> DataFrame:
         """Key multiplicities of one side, the all-null row included."""
+        if which in self._held:
+            return self._held[which]
         if which == "left":
             return K.multiplicities(self.left, self.keys.left, self.plan.left_types, self.plan)
         return K.multiplicities(self.right, self.keys.right, self.plan.right_types, self.plan)
 
+    @contextmanager
+    def holding(self):
+        """Keep both sides' multiplicities while several measurements read them."""
+        self._held = {which: hold(self.side(which)) for which in ("left", "right")}
+        try:
+            yield self
+        finally:
+            for frame in self._held.values():
+                frame.unpersist()
+            self._held = {}
+
     def counts(self, which: str) -> DataFrame:
         types = self.plan.left_types if which == "left" else self.plan.right_types
         return K.comparison_counts(self.side(which), types, self.plan)
@@ -186,30 +201,37 @@ class JoinCheck:
         """The report with its example keys, as plain values."""
         report = self.report_of_measured()
         for which in ("left", "right"):
-            rows = self.unmatched_keys(which).collect()
+            some = self.measured()[f"n_{which}_only_keys"]
+            rows = self.unmatched_keys(which).collect() if some else []
             report["overlap"][f"sample_{which}_only"] = [_key_value(r) for r in rows]
         return report
 
     def findings(self) -> dict:
-        """The report plus a handful of example rows per anomaly."""
-        report = self.report_dict()
-        examples = []
-        for row in self.fan_out_examples().collect():
-            values = list(row)
-            examples.append(
-                {"key": _key_value(values[:-2]), "n_left": values[-2], "n_right": values[-1]}
-            )
-        rows = lambda frame: [plain(r) for r in frame.collect()]
-        return {
-            "report": report,
-            "evidence": {
-                "unmatched_left_rows": rows(self.unmatched_rows("left")),
-                "unmatched_right_rows": rows(self.unmatched_rows("right")),
-                "null_key_left_rows": rows(self.null_key_rows("left")),
-                "null_key_right_rows": rows(self.null_key_rows("right")),
-                "fan_out_examples": examples,
-            },
-        }
+        """The report plus a handful of example rows per anomaly.
+
+        The counts say which anomalies there are; nothing is searched for the others.
+        """
+        with self.holding():
+            m = self.measured()
+            rows = lambda some, frame: [plain(r) for r in frame().collect()] if some else []
+            fan_out = max(m["max_left_to_right"], m["max_right_to_left"]) > 1
+            return {
+                "report": self.report_dict(),
+                "evidence": {
+                    "unmatched_left_rows": rows(
+                        m["n_left_only_keys"], lambda: self.unmatched_rows("left")),
+                    "unmatched_right_rows": rows(
+                        m["n_right_only_keys"], lambda: self.unmatched_rows("right")),
+                    "null_key_left_rows": rows(
+                        m["l_null_rows"], lambda: self.null_key_rows("left")),
+                    "null_key_right_rows": rows(
+                        m["r_null_rows"], lambda: self.null_key_rows("right")),
+                    "fan_out_examples": [
+                        {"key": _key_value(list(r)[:-2]), "n_left": r["n_left"], "n_right": r["n_right"]}
+                        for r in (self.fan_out_examples().collect() if fan_out else [])
+                    ],
+                },
+            }
 
 
 def _key_value(values):

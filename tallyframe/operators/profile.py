@@ -31,7 +31,7 @@ NUMERIC_TEXT_RATE = 0.9
 
 # Text beyond this many characters travels as digest and leading characters.
 LONG_TEXT = 64
-# Rows up to which one task may hold a column's distinct values for quartiles.
+# Distinct values of a column that one task may sort to find its quartiles.
 QUARTILE_ROWS = 1_000_000
 # Columns counted in one job; wider tables take several.
 COLUMNS_PER_JOB = 24
@@ -69,21 +69,18 @@ def profile(
     try:
         facts = _scalars(table, fields)
         n_rows = facts.pop("n_rows")
-        bounded = n_rows <= quartile_rows
         values: dict[int, dict] = {}
         filled = [i for i in range(len(fields)) if facts[f"c{i}_non_null"]]
+        ranged = [i for i in filled if kinds.kind_of(fields[i].dataType) in kinds.RANGED]
+        bounded = set(ranged)
+        if n_rows > quartile_rows:
+            bounded = _few_values(table, ranged, quartile_rows)
         for start in range(0, len(filled), columns_per_job):
             batch = {i: facts[f"c{i}_non_null"] for i in filled[start : start + columns_per_job]}
             values |= _value_facts(table, fields, batch, sample_values, long_text, bounded)
-        if not bounded:
-            ranged = {
-                i: facts[f"c{i}_non_null"]
-                for i in filled
-                if kinds.kind_of(fields[i].dataType) in kinds.RANGED
-            }
-            found = distributed_quartiles(table, ranged, limit=quartile_rows)
-            for i, quartiles in found.items():
-                values[i]["quartiles"] = quartiles
+        wide = {i: facts[f"c{i}_non_null"] for i in ranged if i not in bounded}
+        for i, quartiles in distributed_quartiles(table, wide, limit=quartile_rows).items():
+            values[i]["quartiles"] = quartiles
     finally:
         if not columnar:
             table.unpersist()
@@ -130,6 +127,18 @@ def _scalars(table: DataFrame, fields) -> dict:
     return table.agg(*aggregates).first().asDict()
 
 
+def _few_values(table: DataFrame, columns: list[int], limit: int) -> set[int]:
+    """Columns whose distinct values one task can sort.
+
+    An estimate, which decides only where quartiles are computed: every reported
+    count is exact.
+    """
+    if not columns:
+        return set()
+    row = table.agg(*[F.approx_count_distinct(f"c{i}").alias(f"c{i}") for i in columns]).first()
+    return {i for i in columns if row[f"c{i}"] * 1.25 <= limit}
+
+
 # --- job 2: the counts of equal values ------------------------------------------
 #
 # Written as SQL text: a profile has a few branches per column, and one statement
@@ -179,8 +188,7 @@ def _branch(i: int, source: str, **cells: str) -> str:
 def _ranked_branch(i: int, present: int, k: int) -> str:
     """The smallest values, the wanted ranks and the last row of one numeric column.
 
-    One task sorts the distinct values, at most QUARTILE_ROWS of them by the row
-    count already taken.
+    One task sorts the distinct values, about QUARTILE_ROWS of them at most.
     """
     wanted = sorted({r for low, high, _ in wanted_ranks(present) for r in (low, high)})
     hits = " OR ".join(f"(seen > {r} AND seen - n <= {r})" for r in wanted)
@@ -226,7 +234,7 @@ def _value_facts(table, fields, batch, k, long_text, bounded) -> dict[int, dict]
         dtype = fields[i].dataType
         kind = kinds.kind_of(dtype)
         counts.append(f"k{i} AS ({counts_sql(view, i, dtype, long_text)})")
-        if kind in kinds.RANGED and bounded:
+        if i in bounded:
             branches.append(_ranked_branch(i, present, k))
         else:
             branches += _value_branches(i, kind, k)

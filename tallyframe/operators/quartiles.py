@@ -64,6 +64,8 @@ def distributed_quartiles(
     table: DataFrame, non_null: dict[int, int], *, limit: int
 ) -> dict[int, list[float]]:
     """Column position to its three quartiles; ``non_null`` gives the rows per column."""
+    if not non_null:
+        return {}
     searches: dict[tuple[int, int], _Search] = {}
     for i, n in non_null.items():
         for low, high, _ in wanted_ranks(n):
@@ -108,10 +110,13 @@ def _narrow(table: DataFrame, searches: list[_Search], seed: int) -> None:
     sketches = []
     for j, interval in enumerate(intervals):
         around = set()
+        share = PROPOSING_ROWS / groups[interval][0].inside
         for s in groups[interval]:
             p = (s.offset + 0.5) / s.inside
-            around |= {max(0.0, round(p - 2 / SKETCH, 6)), min(1.0, round(p + 2 / SKETCH, 6))}
-        share = PROPOSING_ROWS / max(s.inside for s in groups[interval])
+            # four standard errors of a drawn quantile, plus the sketch's own error
+            drawn = 4 * math.sqrt(p * (1 - p) / PROPOSING_ROWS) if share < 1 else 0.0
+            margin = 2 / SKETCH + drawn
+            around |= {max(0.0, round(p - margin, 6)), min(1.0, round(p + margin, 6))}
         proposes = _inside(interval)
         if share < 1:
             proposes = proposes & (F.col("draw") < share)
