@@ -1,11 +1,11 @@
 """Profile a table: one row of facts per column.
 
-Two jobs, whatever the number of columns. The first is one global aggregate of
-everything that needs no grouping. The second counts the equal values of every
-column, each branch reading only its own column and combining before the shuffle;
-distinct counts, modal values, the smallest samples and (for tables of bounded
-size) quartiles are all read from those counts. On columnar files that reads each
-column once more; other inputs are held for the length of the profile.
+Two jobs per few columns, several such pairs side by side. The first is one global
+aggregate of everything that needs no grouping. The second counts the equal values
+of every column, each branch reading only its own column and combining before the
+shuffle; distinct counts, modal values, the smallest samples and (for columns of few
+enough values) quartiles are all read from those counts. On columnar files that
+reads each column once more; other inputs are held for the length of the profile.
 
 Long text is shuffled as a digest of the whole value plus its leading characters
 for ordering, so a column of documents moves tens of bytes per row. Where such a
@@ -15,6 +15,8 @@ value is itself an answer, it is looked up again in the table by exact order.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -33,8 +35,9 @@ NUMERIC_TEXT_RATE = 0.9
 LONG_TEXT = 64
 # Distinct values of a column that one task may sort to find its quartiles.
 QUARTILE_ROWS = 1_000_000
-# Columns counted in one job; wider tables take several.
-COLUMNS_PER_JOB = 24
+# Columns measured in one pair of jobs, and how many such pairs run side by side.
+COLUMNS_PER_JOB = 8
+JOBS_AT_ONCE = 6
 
 COLUMN_SCHEMA = (
     "position int, name string, dtype string, kind string, n_rows bigint, n_non_null bigint, "
@@ -66,28 +69,37 @@ def profile(
     spark = df.sparkSession
     fields = df.schema.fields
     table = positional(df) if columnar else hold(positional(df))
+    batches = [
+        range(start, min(start + columns_per_job, len(fields)))
+        for start in range(0, len(fields), columns_per_job)
+    ]
+    measure = partial(_measure, table, fields, sample_values, long_text, quartile_rows)
     try:
-        facts = _scalars(table, fields)
-        n_rows = facts.pop("n_rows")
-        values: dict[int, dict] = {}
-        filled = [i for i in range(len(fields)) if facts[f"c{i}_non_null"]]
-        ranged = [i for i in filled if kinds.kind_of(fields[i].dataType) in kinds.RANGED]
-        bounded = set(ranged)
-        if n_rows > quartile_rows:
-            bounded = _few_values(table, ranged, quartile_rows)
-        for start in range(0, len(filled), columns_per_job):
-            batch = {i: facts[f"c{i}_non_null"] for i in filled[start : start + columns_per_job]}
-            values |= _value_facts(table, fields, batch, sample_values, long_text, bounded)
-        wide = {i: facts[f"c{i}_non_null"] for i in ranged if i not in bounded}
-        for i, quartiles in distributed_quartiles(table, wide, limit=quartile_rows).items():
-            values[i]["quartiles"] = quartiles
+        # a job over few columns leaves executors idle while it is planned
+        with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+            rows = [row for found in pool.map(measure, batches) for row in found]
     finally:
         if not columnar:
             table.unpersist()
-    rows = [_row(i, f, n_rows, facts, values.get(i, {})) for i, f in enumerate(fields)]
     return with_rules(small_frame(spark, rows, COLUMN_SCHEMA))
 
 
+def _measure(table, fields, k: int, long_text: int, quartile_rows: int, columns) -> list[tuple]:
+    """The measured row of each of a few columns."""
+    facts = _scalars(table, fields, columns)
+    n_rows = facts["n_rows"]
+    filled = {i: facts[f"c{i}_non_null"] for i in columns if facts[f"c{i}_non_null"]}
+    ranged = [i for i in filled if kinds.kind_of(fields[i].dataType) in kinds.RANGED]
+    bounded = set(ranged)
+    if n_rows > quartile_rows:
+        bounded = _few_values(table, ranged, quartile_rows)
+    values = _value_facts(table, fields, filled, k, long_text, bounded)
+    wide = {i: filled[i] for i in ranged if i not in bounded}
+    for i, quartiles in distributed_quartiles(table, wide, limit=quartile_rows).items():
+        values[i]["quartiles"] = quartiles
+    return [_row(i, fields[i], n_rows, facts, values.get(i, {})) for i in columns]
+
+
 def profile_dict(df: DataFrame, **options) -> dict:
     """The profile as plain values, the shape a catalog entry or a log keeps."""
     rows = profile(df, **options).orderBy("position").collect()
@@ -109,22 +121,21 @@ def profile_dict(df: DataFrame, **options) -> dict:
     }
 
 
-# --- job 1: everything scalar, in one pass -----------------------------------
+# --- the first job: everything scalar -------------------------------------------
 
 
-def _scalars(table: DataFrame, fields) -> dict:
-    aggregates = [F.count(F.lit(1)).alias("n_rows")]
-    for i, field in enumerate(fields):
-        c, kind = F.col(f"c{i}"), kinds.kind_of(field.dataType)
-        aggregates.append(F.count(c).alias(f"c{i}_non_null"))
-        if kind in kinds.RANGED:
+def _scalars(table: DataFrame, fields, columns) -> dict:
+    aggregates = ["count(1) AS n_rows"]
+    for i in columns:
+        aggregates.append(f"count(c{i}) AS c{i}_non_null")
+        if kinds.kind_of(fields[i].dataType) in kinds.RANGED:
             aggregates += [
-                F.min(c).cast("string").alias(f"c{i}_min"),
-                F.max(c).cast("string").alias(f"c{i}_max"),
-                F.avg(c).cast("double").alias(f"c{i}_mean"),
-                F.stddev_samp(c).alias(f"c{i}_std"),
+                f"CAST(min(c{i}) AS STRING) AS c{i}_min",
+                f"CAST(max(c{i}) AS STRING) AS c{i}_max",
+                f"CAST(avg(c{i}) AS DOUBLE) AS c{i}_mean",
+                f"stddev_samp(c{i}) AS c{i}_std",
             ]
-    return table.agg(*aggregates).first().asDict()
+    return table.agg(*map(F.expr, aggregates)).first().asDict()
 
 
 def _few_values(table: DataFrame, columns: list[int], limit: int) -> set[int]:
@@ -139,7 +150,7 @@ def _few_values(table: DataFrame, columns: list[int], limit: int) -> set[int]:
     return {i for i in columns if row[f"c{i}"] * 1.25 <= limit}
 
 
-# --- job 2: the counts of equal values ------------------------------------------
+# --- the second job: the counts of equal values -----------------------------------
 #
 # Written as SQL text: a profile has a few branches per column, and one statement
 # is analysed once where chained frames would be analysed at every call.
