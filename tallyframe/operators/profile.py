@@ -1,11 +1,12 @@
 """Profile a table: one row of facts per column.
 
-Two jobs per few columns, several such pairs side by side. The first is one global
-aggregate of everything that needs no grouping. The second counts the equal values
-of every column, each branch reading only its own column and combining before the
-shuffle; distinct counts, modal values, the smallest samples and (for columns of few
-enough values) quartiles are all read from those counts. On columnar files that
-reads each column once more; other inputs are held for the length of the profile.
+Two kinds of job over a few columns each, several side by side. The first is one
+global aggregate of everything that needs no grouping. The second counts the equal
+values of every column, combining before the shuffle; distinct counts, modal values,
+the smallest samples and (for columns of few enough values) quartiles are all read
+from those counts. In a tall table every column is a branch that reads nothing else,
+in a short one the columns of a type go through together, since there planning costs
+more than reading. Inputs that are no columnar file are held for the profile.
 
 Long text is shuffled as a digest of the whole value plus its leading characters
 for ordering, so a column of documents moves tens of bytes per row. Where such a
@@ -23,7 +24,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tallyframe.functions import kinds
 from tallyframe.functions.evidence import plain
 from tallyframe.functions.text import flag_list, number_sql, ratio, strip_sql
-from tallyframe.operators.quartiles import between, distributed_quartiles, wanted_ranks
+from tallyframe.operators.quartiles import (
+    PROBABILITIES,
+    between,
+    distributed_quartiles,
+    wanted_ranks,
+)
 from tallyframe.session import hold, small_frame
 
 SAMPLE_VALUES = 3
@@ -35,8 +41,11 @@ NUMERIC_TEXT_RATE = 0.9
 LONG_TEXT = 64
 # Distinct values of a column that one task may sort to find its quartiles.
 QUARTILE_ROWS = 1_000_000
-# Columns measured in one pair of jobs, and how many such pairs run side by side.
+# Columns per job, and how many jobs run side by side. Columns of a short table are
+# counted many at a time, those of a tall one each in its own branch.
+SCALARS_PER_JOB = 12
 COLUMNS_PER_JOB = 8
+SHORT_COLUMNS_PER_JOB = 64
 JOBS_AT_ONCE = 6
 
 COLUMN_SCHEMA = (
@@ -58,7 +67,7 @@ def profile(
     sample_values: int = SAMPLE_VALUES,
     long_text: int = LONG_TEXT,
     quartile_rows: int = QUARTILE_ROWS,
-    columns_per_job: int = COLUMNS_PER_JOB,
+    columns_per_job: int | None = None,
     columnar: bool = True,
 ) -> DataFrame:
     """One row per column, in schema order. See :func:`with_rules` for the schema.
@@ -69,35 +78,39 @@ def profile(
     spark = df.sparkSession
     fields = df.schema.fields
     table = positional(df) if columnar else hold(positional(df))
-    batches = [
-        range(start, min(start + columns_per_job, len(fields)))
-        for start in range(0, len(fields), columns_per_job)
-    ]
-    measure = partial(_measure, table, fields, sample_values, long_text, quartile_rows)
     try:
         # a job over few columns leaves executors idle while it is planned
         with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-            rows = [row for found in pool.map(measure, batches) for row in found]
+            facts: dict = {"n_rows": 0}
+            for found in pool.map(partial(_scalars, table, fields), _batches(len(fields), SCALARS_PER_JOB)):
+                facts |= found
+            n_rows = facts["n_rows"] if fields else df.count()
+            tall = n_rows > quartile_rows
+            per_job = columns_per_job or (COLUMNS_PER_JOB if tall else SHORT_COLUMNS_PER_JOB)
+            measure = partial(
+                _measure, table, fields, facts, sample_values, long_text, quartile_rows, tall
+            )
+            rows = [r for found in pool.map(measure, _batches(len(fields), per_job)) for r in found]
     finally:
         if not columnar:
             table.unpersist()
     return with_rules(small_frame(spark, rows, COLUMN_SCHEMA))
 
 
-def _measure(table, fields, k: int, long_text: int, quartile_rows: int, columns) -> list[tuple]:
+def _batches(n: int, size: int) -> list[range]:
+    return [range(start, min(start + size, n)) for start in range(0, n, size)]
+
+
+def _measure(table, fields, facts, k: int, long_text: int, quartile_rows: int, tall: bool, columns):
     """The measured row of each of a few columns."""
-    facts = _scalars(table, fields, columns)
-    n_rows = facts["n_rows"]
     filled = {i: facts[f"c{i}_non_null"] for i in columns if facts[f"c{i}_non_null"]}
     ranged = [i for i in filled if kinds.kind_of(fields[i].dataType) in kinds.RANGED]
-    bounded = set(ranged)
-    if n_rows > quartile_rows:
-        bounded = _few_values(table, ranged, quartile_rows)
-    values = _value_facts(table, fields, filled, k, long_text, bounded)
+    bounded = _few_values(table, ranged, quartile_rows) if tall else set(ranged)
+    values = _value_facts(table, fields, filled, k, long_text, bounded, tall)
     wide = {i: filled[i] for i in ranged if i not in bounded}
     for i, quartiles in distributed_quartiles(table, wide, limit=quartile_rows).items():
         values[i]["quartiles"] = quartiles
-    return [_row(i, fields[i], n_rows, facts, values.get(i, {})) for i in columns]
+    return [_row(i, fields[i], facts["n_rows"], facts, values.get(i, {})) for i in columns]
 
 
 def profile_dict(df: DataFrame, **options) -> dict:
@@ -159,24 +172,36 @@ _NONE = {"value": "string", "number": "double", "long": "boolean"}
 _FACT = ("what", "ord", "value", "number", "long", "n", "seen", "spaced", "numeric")
 
 
-def counts_sql(view: str, i: int, dtype: T.DataType, long_text: int) -> str:
-    """``v, digest, marks, n``: every distinct non-null value of a column, counted.
+def counts_sql(view: str, members: list[int], fields, long_text: int) -> str:
+    """``pos, v, digest, marks, n``: every distinct non-null value of columns of one type.
 
     ``marks`` is a function of the value, so grouping by it changes nothing.
     """
-    if kinds.kind_of(dtype) not in (kinds.STRING, kinds.OTHER):
+    first = fields[members[0]].dataType
+    text = kinds.kind_of(first) in (kinds.STRING, kinds.OTHER)
+    value = {}
+    for i in members:
+        dtype = fields[i].dataType
+        widened = f"CAST(c{i} AS BIGINT)" if kinds.kind_of(dtype) == kinds.INTEGER else f"c{i}"
+        value[i] = kinds.text_sql(f"c{i}", dtype) if text else widened
+    if len(members) == 1:
+        i = members[0]
+        source = f"(SELECT {i} AS pos, {value[i]} AS x FROM {view} WHERE c{i} IS NOT NULL)"
+    else:
+        cells = ", ".join(f"struct({i} AS pos, {value[i]} AS x)" for i in members)
+        source = f"(SELECT inline(array({cells})) FROM {view})"
+    if not text:
         return (
-            "SELECT v, CAST(NULL AS BINARY) AS digest, n FROM ("
-            f"SELECT c{i} AS v, count(1) AS n FROM {view} WHERE c{i} IS NOT NULL GROUP BY c{i})"
+            "SELECT pos, x AS v, CAST(NULL AS BINARY) AS digest, count(1) AS n "
+            f"FROM {source} WHERE x IS NOT NULL GROUP BY pos, x"
         )
     long = f"length(x) > {long_text}"
     return (
-        "SELECT v, digest, marks, count(1) AS n FROM (SELECT "
+        "SELECT pos, v, digest, marks, count(1) AS n FROM (SELECT pos, "
         f"CASE WHEN {long} THEN left(x, {long_text}) ELSE x END AS v, "
         f"CASE WHEN {long} THEN unhex(sha2(x, 256)) END AS digest, "
         f"CASE WHEN {long} THEN {_marks('x')} END AS marks "
-        f"FROM (SELECT {kinds.text_sql(f'c{i}', dtype)} AS x FROM {view} "
-        f"WHERE c{i} IS NOT NULL)) GROUP BY v, digest, marks"
+        f"FROM {source} WHERE x IS NOT NULL) GROUP BY pos, v, digest, marks"
     )
 
 
@@ -188,33 +213,38 @@ def _marks(x: str) -> str:
     )
 
 
-def _branch(i: int, source: str, **cells: str) -> str:
+def _branch(source: str, **cells: str) -> str:
     shown = [
         f"CAST({cells.get(name, 'NULL')} AS {_NONE.get(name, 'bigint')}) AS {name}"
         for name in _FACT[1:]
     ]
-    return f"SELECT {i} AS pos, '{cells['what']}' AS what, {', '.join(shown)} FROM {source}"
+    return f"SELECT pos, '{cells['what']}' AS what, {', '.join(shown)} FROM {source}"
 
 
-def _ranked_branch(i: int, present: int, k: int) -> str:
-    """The smallest values, the wanted ranks and the last row of one numeric column.
+def _ranked_branch(name: str, present: dict[int, int], k: int) -> str:
+    """The smallest values, the wanted ranks and the last row of each numeric column.
 
-    One task sorts the distinct values, about QUARTILE_ROWS of them at most.
+    One task sorts the distinct values of a column, about QUARTILE_ROWS at most.
     """
-    wanted = sorted({r for low, high, _ in wanted_ranks(present) for r in (low, high)})
-    hits = " OR ".join(f"(seen > {r} AND seen - n <= {r})" for r in wanted)
+    sizes = ", ".join(f"{i}, {n}L" for i, n in present.items())
     ranked = (
-        f"(SELECT v, n, row_number() OVER w AS rn, sum(n) OVER w AS seen FROM k{i} "
-        f"WINDOW w AS (PARTITION BY {i} ORDER BY v ROWS UNBOUNDED PRECEDING))"
+        f"(SELECT pos, v, n, row_number() OVER w AS rn, sum(n) OVER w AS seen, "
+        f"element_at(map({sizes}), pos) AS present FROM {name} "
+        "WINDOW w AS (PARTITION BY pos ORDER BY v ROWS UNBOUNDED PRECEDING))"
+    )
+    hits = " OR ".join(
+        f"(seen > floor((present - 1) * {p}D) AND seen - n <= ceil((present - 1) * {p}D))"
+        for p in PROBABILITIES
     )
-    source = f"{ranked} WHERE rn <= {k} OR seen = {present} OR {hits}"
-    return _branch(i, source, what="ranked", ord="rn", value="v", number="v", n="n", seen="seen")
+    source = f"{ranked} WHERE rn <= {k} OR seen = present OR {hits}"
+    return _branch(source, what="ranked", ord="rn", value="v", number="v", n="n", seen="seen")
 
 
-def _value_branches(i: int, kind: str, k: int) -> list[str]:
-    """Distinct count with modal value, and the smallest values, of one column.
+def _value_branches(name: str, members: list[int], kind: str, k: int) -> list[str]:
+    """Distinct count with modal value, and the smallest values, of each column.
 
-    Both read the same counts, so Spark shuffles them once.
+    Both read the same counts, so Spark shuffles them once. A column on its own needs
+    no grouping, and keeps its smallest values in a heap per task.
     """
     inner = ["count(1) AS d", "sum(n) AS total"]
     cells = {"ord": "d", "seen": "total"}
@@ -228,38 +258,61 @@ def _value_branches(i: int, kind: str, k: int) -> list[str]:
         inner.append(f"sum(CASE WHEN {marks} IN (1, 3) THEN n ELSE 0 END) AS spaced")
         inner.append(f"sum(CASE WHEN {marks} >= 2 THEN n ELSE 0 END) AS numeric")
         cells |= {"spaced": "spaced", "numeric": "numeric"}
-    smallest = f"(SELECT * FROM k{i} ORDER BY v NULLS FIRST, digest NULLS FIRST LIMIT {k})"
+    order = "v NULLS FIRST, digest NULLS FIRST"
+    ranks = f"row_number() OVER (PARTITION BY pos ORDER BY {order}) AS rn"
+    if len(members) == 1:
+        whole = f"(SELECT {members[0]} AS pos, {', '.join(inner)} FROM {name})"
+        smallest = f"(SELECT *, {ranks} FROM (SELECT * FROM {name} ORDER BY {order} LIMIT {k}))"
+    else:
+        whole = f"(SELECT pos, {', '.join(inner)} FROM {name} GROUP BY pos)"
+        # a rank filter this small is applied in every task before the shuffle
+        smallest = f"(SELECT * FROM (SELECT *, {ranks} FROM {name}) WHERE rn <= {k})"
     return [
-        _branch(i, f"(SELECT {', '.join(inner)} FROM k{i})", what="whole", **cells),
-        _branch(i, smallest, what="sample", value="v", long="digest IS NOT NULL", n="n"),
+        _branch(whole, what="whole", **cells),
+        _branch(smallest, what="sample", ord="rn", value="v", long="digest IS NOT NULL", n="n"),
     ]
 
 
-def _value_facts(table, fields, batch, k, long_text, bounded) -> dict[int, dict]:
-    if not batch:
+def _families(fields, columns, bounded, tall: bool) -> list[list[int]]:
+    """Columns counted together: of one type, and all on their own in a tall table."""
+    if tall:
+        return [[i] for i in columns]
+    groups: dict[tuple, list[int]] = {}
+    for i in columns:
+        dtype = fields[i].dataType
+        kind = kinds.kind_of(dtype)
+        type_name = kind if kind in (kinds.INTEGER, kinds.STRING, kinds.OTHER) else dtype.simpleString()
+        groups.setdefault((kind, type_name, i in bounded), []).append(i)
+    return list(groups.values())
+
+
+def _value_facts(table, fields, present, k, long_text, bounded, tall) -> dict[int, dict]:
+    if not present:
         return {}
     spark = table.sparkSession
     view = f"profiled_{uuid.uuid4().hex}"
     counts, branches = [], []
-    for i, present in batch.items():
-        dtype = fields[i].dataType
-        kind = kinds.kind_of(dtype)
-        counts.append(f"k{i} AS ({counts_sql(view, i, dtype, long_text)})")
-        if i in bounded:
-            branches.append(_ranked_branch(i, present, k))
+    for members in _families(fields, present, bounded, tall):
+        name = f"k{members[0]}"
+        counts.append(f"{name} AS ({counts_sql(view, members, fields, long_text)})")
+        if members[0] in bounded:
+            branches.append(_ranked_branch(name, {i: present[i] for i in members}, k))
         else:
-            branches += _value_branches(i, kind, k)
+            kind = kinds.kind_of(fields[members[0]].dataType)
+            branches += _value_branches(name, members, kind, k)
     table.createOrReplaceTempView(view)
     try:
         statement = f"WITH {', '.join(counts)} {' UNION ALL '.join(branches)}"
         rows = spark.sql(statement).collect()  # a few rows per column
     finally:
         spark.catalog.dropTempView(view)
-    facts: dict[int, dict] = {}
-    for i, present in batch.items():
-        own = [r for r in rows if r["pos"] == i]
-        facts[i] = _decode(own, table, i, fields[i].dataType, present, k, long_text)
-    return facts
+    by_column: dict[int, list] = {i: [] for i in present}
+    for row in rows:
+        by_column[row["pos"]].append(row)
+    return {
+        i: _decode(by_column[i], table, i, fields[i].dataType, present[i], k, long_text)
+        for i in present
+    }
 
 
 def _decode(rows, table, i: int, dtype, present: int, k: int, long_text: int) -> dict:
@@ -273,7 +326,7 @@ def _decode(rows, table, i: int, dtype, present: int, k: int, long_text: int) ->
         }
     whole = next(r for r in rows if r["what"] == "whole")
     samples = [r for r in rows if r["what"] == "sample"]
-    samples.sort(key=lambda r: (r["long"],))  # already ordered; short before long on ties
+    samples.sort(key=lambda r: r["ord"])
     facts = {
         "n_distinct": whole["ord"],
         "top": whole["value"],

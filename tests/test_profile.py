@@ -140,6 +140,12 @@ def test_held_input_gives_the_same_profile(messy):
     assert profile_dict(messy, columns_per_job=3) == profile_dict(messy)
 
 
+def test_tall_and_short_tables_are_counted_alike(messy):
+    """Each column on its own, and columns of a type together, give one answer."""
+    assert profile_dict(messy, quartile_rows=10) == profile_dict(messy)
+    assert profile_dict(messy, quartile_rows=39, long_text=2) == profile_dict(messy)
+
+
 def test_null_rates(messy, spark):
     rates = {r["name"]: round(r["null_rate"], 4) for r in null_rates(messy).collect()}
     assert rates["note"] == 0.65 and rates["legacy"] == 1.0 and rates["id"] == 0.0
