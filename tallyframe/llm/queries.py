@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import bpe, chat, decontaminate, simhash
+from tallyframe.llm import bpe, chat, decontaminate, language, simhash, toxicity
 from tallyframe.llm.common import read
+from tallyframe.llm.language import fold_of
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +33,24 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("chars").cast("bigint").alias("formatted_chars"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    langs, table = language.learn(documents.where(fold_of("doc_id", 5) != 0))
+    return language.identify(documents, langs, table).select(
+        "doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    scored = toxicity.fit(documents, labels, fold_of("doc_id", 5)).score(documents)
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
@@ -45,7 +60,9 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_language_id": op4_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
 
