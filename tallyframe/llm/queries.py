@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import bpe, chat, decontaminate, language, simhash, toxicity
+from tallyframe.llm import bpe, chat, decontaminate, language, simhash, toxicity, vectors
 from tallyframe.llm.common import read
 from tallyframe.llm.language import fold_of
 
@@ -40,6 +40,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_language_id": op4_language_id,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_bpe_round_trip": op9_bpe_round_trip,
