@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import bpe, chat, decontaminate, language, simhash, toxicity, vectors
+from tallyframe.llm import bpe, chat, decontaminate, language, lines, simhash, toxicity, vectors
 from tallyframe.llm.common import read
 from tallyframe.llm.language import fold_of
 
@@ -48,6 +48,16 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    count = F.size(F.split(F.col("text"), "\n")).cast("bigint")
+    before = documents.select("doc_id", "text", count.alias("n_lines"))
+    return lines.deduplicate(before).select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
+        F.when(F.col("text") == "", 0).otherwise(F.coalesce(count, F.lit(0))).cast("bigint").alias("n_kept"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     scored = toxicity.fit(documents, labels, fold_of("doc_id", 5)).score(documents)
@@ -67,6 +77,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_bpe_round_trip": op9_bpe_round_trip,
 }
@@ -101,4 +112,23 @@ ORACLES: dict[str, str] = {
                sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256,
                sum(length(role) + length(safe) + 8)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op7_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                          generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+        s AS (SELECT doc_id, n, line, list_sort(list_distinct(regexp_extract_all(translate(line,
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS words FROM l),
+        c AS (SELECT words, len(words) AS size, min((doc_id, n)) AS place, row_number() OVER () AS id
+              FROM s WHERE len(words) > 0 GROUP BY words),
+        t AS (SELECT id, size, place, unnest(words) AS word FROM c),
+        b AS (SELECT DISTINCT x FROM (SELECT a.id AS x, b.id AS y, any_value(a.size) AS n, any_value(b.size) AS m, count(*) AS o
+              FROM t a JOIN t b ON a.word = b.word AND b.place < a.place
+                   AND 5 * b.size >= 4 * a.size AND 5 * a.size >= 4 * b.size
+              GROUP BY a.id, b.id HAVING 10 * count(*) >= 8 * (any_value(a.size) + any_value(b.size) - count(*)))),
+        k AS (SELECT place FROM c WHERE id NOT IN (SELECT x FROM b)),
+        r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text, count(*) AS kept
+              FROM s WHERE len(words) = 0 OR (doc_id, n) IN (SELECT place FROM k) GROUP BY doc_id)
+        SELECT d.doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines,
+               CASE WHEN coalesce(r.text, '') = '' THEN 0 ELSE kept END::BIGINT AS n_kept,
+               sha256(coalesce(r.text, '')) AS text_sha256
+        FROM documents d LEFT JOIN r USING (doc_id)""",
 }

@@ -18,7 +18,7 @@ CELL_ROWS = 32  # vectors of a cell that the size of the codebooks aims at
 MAX_CODES = 1_024  # codewords of a half, at most
 SAMPLE_PER_CODE = 64  # vectors of the sample for each codeword; bounds the sample
 TARGET_RECALL = 0.9999
-MIN_CELLS = 4  # cells visited in any case
+MIN_CELLS = 8  # cells visited in any case
 MAX_CELLS = 256  # cells visited for one vector, at most; beyond it fit() says so
 BLOCK_ROWS = 4_096  # members or visitors of a cell compared in one go
 
