@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import bpe, chat, decontaminate, language, lines, simhash, toxicity, vectors
+from tallyframe.llm import bpe, chat, decontaminate, language, lines, simhash, substring, toxicity, vectors
 from tallyframe.llm.common import read
 from tallyframe.llm.language import fold_of
 
@@ -71,6 +71,11 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring.deduplicate(read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -80,6 +85,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -131,4 +137,17 @@ ORACLES: dict[str, str] = {
                CASE WHEN coalesce(r.text, '') = '' THEN 0 ELSE kept END::BIGINT AS n_kept,
                sha256(coalesce(r.text, '')) AS text_sha256
         FROM documents d LEFT JOIN r USING (doc_id)""",
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS n FROM d),
+        s AS (SELECT doc_id, n, word, list(word) OVER (PARTITION BY doc_id ORDER BY n
+                     ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS l FROM w),
+        h AS (SELECT doc_id, n, word, CASE WHEN len(l) = 50 THEN md5(array_to_string(l, ' ')) END AS gram FROM s),
+        m AS (SELECT *, CASE WHEN min(doc_id) OVER (PARTITION BY gram) < doc_id AND gram IS NOT NULL THEN n END AS spot FROM h),
+        c AS (SELECT doc_id, n, word, max(spot) OVER (PARTITION BY doc_id ORDER BY n) AS latest FROM m),
+        r AS (SELECT doc_id, count(*) FILTER (WHERE n - latest < 50) AS gone,
+                     string_agg(word, ' ' ORDER BY n) FILTER (WHERE latest IS NULL OR n - latest >= 50) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)""",
 }
