@@ -92,11 +92,13 @@ def _cut(rows: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.Re
     """Pieces of long texts. A special token ends a segment, which is joined on its own."""
     marks = load(path).special_tokens_set
     for batch in rows:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
             for segment, part in enumerate(_segments(text, marks)):
-                for n, at in enumerate(range(0, len(part), size)):
-                    yield pa.RecordBatch.from_pydict({
-                        "digest": [key], "segment": [segment], "piece": [n], "text": [part[at:at + size]]})
+                cuts = [part[at:at + size] for at in range(0, len(part), size)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([doc] * len(cuts), pa.int64()), pa.array([digest] * len(cuts), pa.string()),
+                     pa.array([segment] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int64()),
+                     pa.array(cuts, pa.string())], names=["doc_id", "digest", "segment", "piece", "text"])
 
 
 def _segments(text: str, marks: set[str]) -> list[str]:
@@ -113,20 +115,30 @@ def _between(text: str, mark: str) -> list[str]:
 
 def _encode(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     coder = load(path)
+    kind = _kind(coder)
     for batch in rows:
-        ids = [np.array(encode_text(coder, t.as_py()), "<u4").tobytes() for t in batch.column(3)]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(ids, pa.binary())], names=["digest", "segment", "piece", "ids"])
+        ids = [np.array(encode_text(coder, t.as_py()), kind).tobytes() for t in batch.column(5)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(ids, pa.binary())],
+                                         names=[*batch.schema.names[:5], "ids"])
+
+
+def _kind(coder: tiktoken.Encoding) -> str:
+    """Integers in which ids are sent between tasks."""
+    return "<u2" if coder.n_vocab <= 1 << 16 else "<u4"
 
 
 def _join_pieces(path: str) -> Callable[[pa.Table], pa.Table]:
+    coders: list[tiktoken.Encoding] = []  # filled once in a task, not once for each text
+
     def joined(table: pa.Table) -> pa.Table:
-        coder, segments = load(path), {}
+        if not coders:
+            coders.append(load(path))
+        coder, segments = coders[0], {}
         for row in sorted(table.to_pylist(), key=lambda r: (r["segment"], r["piece"])):
-            segments.setdefault(row["segment"], []).append(np.frombuffer(row["ids"], "<u4").tolist())
+            segments.setdefault(row["segment"], []).append(np.frombuffer(row["ids"], _kind(coder)).tolist())
         packed = _packed(coder, [i for pieces in segments.values() for i in join_all(coder, pieces)])
-        return pa.table({"digest": table["digest"][:1], "ids": pa.array([packed[0]], pa.binary()),
-                         "text": [packed[1]]})
+        return pa.table({"doc_id": table["doc_id"][:1], "copies": table["copies"][:1],
+                         "ids": pa.array([packed[0]], pa.binary()), "text": [packed[1]]})
     return joined
 
 
@@ -135,16 +147,19 @@ def round_trip(documents: DataFrame, path: str, piece_chars: int = PIECE_CHARS)
 
     ``ids`` is binary, little-endian unsigned 32-bit integers. A null text is encoded
     as an empty one; strings of special tokens become those tokens. Texts longer
-    than ``piece_chars`` are cut, their pieces spread over the tasks, each encoded
-    once however often the text occurs, and joined by text.
+    than ``piece_chars`` are cut, their pieces spread over the tasks, encoded there, and
+    joined by text. Rows that share doc_id and text are encoded once and returned each.
     """
     docs = batches(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     long = F.char_length("text") > piece_chars
     short = docs.where(~long).mapInArrow(partial(_round_trip, path=path), "doc_id bigint, ids binary, text string")
-    longer = docs.where(long).select("doc_id", F.sha2("text", 256).alias("digest"), "text")
-    pieces = longer.select("digest", "text").mapInArrow(
-        partial(_cut, path=path, size=piece_chars), "digest string, segment long, piece long, text string")
-    whole = (pieces.dropDuplicates(["digest", "segment", "piece"])
-             .mapInArrow(partial(_encode, path=path), "digest string, segment long, piece long, ids binary")
-             .groupBy("digest").applyInArrow(_join_pieces(path), "digest string, ids binary, text string"))
-    return short.union(longer.select("doc_id", "digest").join(whole, "digest").select("doc_id", "ids", "text"))
+    names = ["doc_id", "digest", "segment", "piece"]
+    pieces = docs.where(long).select("doc_id", F.sha2("text", 256).alias("digest"), "text").mapInArrow(
+        partial(_cut, path=path, size=piece_chars), "doc_id bigint, digest string, segment long, piece long, text string")
+    # this grouping also deals the pieces out to all tasks
+    coded = (pieces.groupBy(*names).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+             .mapInArrow(partial(_encode, path=path),
+                         "doc_id bigint, digest string, segment long, piece long, copies long, ids binary"))
+    whole = coded.groupBy("doc_id", "digest").applyInArrow(
+        _join_pieces(path), "doc_id bigint, copies bigint, ids binary, text string")
+    return short.union(whole.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "ids", "text"))
