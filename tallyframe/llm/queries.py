@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import bpe, chat, decontaminate, language, lines, simhash, substring, toxicity, vectors
+from tallyframe.llm import bpe, chat, decontaminate, katz, language, lines, simhash, substring, toxicity, vectors
 from tallyframe.llm.common import read
 from tallyframe.llm.language import fold_of
 
@@ -33,6 +33,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("chars").cast("bigint").alias("formatted_chars"))
 
 
+def op3_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents"), fold_of("doc_id", 10) == 0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     langs, table = language.learn(documents.where(fold_of("doc_id", 5) != 0))
@@ -79,6 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_katz_scoring": op3_katz_scoring,
     "op4_language_id": op4_language_id,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
