@@ -140,3 +140,12 @@ def contamination(documents: DataFrame, items: DataFrame, size: int = 10,
     return docs.join(marked, same(docs, marked, "doc_id", "digest"), "left").select(
         docs["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("items", none).alias("items"))
+
+
+def clean(documents: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The documents, all columns, in which no window of an item occurs."""
+    hits, _ = occurrences(documents, items, size)
+    bad = pin(hits.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest")))
+    marked = documents.select("*", F.xxhash64("text").alias("__text"))
+    leaks = marked["doc_id"].eqNullSafe(bad["__doc"]) & (marked["__text"] == bad["__digest"])
+    return marked.join(bad, leaks, "left_anti").select(*documents.columns)

@@ -148,3 +148,19 @@ def identify(documents: DataFrame, langs: list[str], table: np.ndarray) -> DataF
     return batches(documents.select("doc_id", "text")).mapInArrow(
         partial(_identify, langs=langs, table=spread),
         "doc_id bigint, lang_pred string, score double, languages array<struct<lang: string, share: double>>")
+
+
+def _recognised(rows: Iterator[pa.RecordBatch], langs: list[str], table) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        found = shares(texts, table.value) if langs else [len(trigrams(t)) or None for t in texts]
+        yield batch.filter(pa.array([s is not None for s in found], pa.bool_()))
+
+
+def recognised(documents: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
+    """The documents, all columns, in which a language is found: not those that are ``und``.
+
+    If no language was learned, those with a letter.
+    """
+    spread = documents.sparkSession.sparkContext.broadcast(table)  # MAX_LANGUAGES * BUCKETS numbers at most
+    return batches(documents).mapInArrow(partial(_recognised, langs=langs, table=spread), documents.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -81,6 +82,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_katz_scoring": op3_katz_scoring,
@@ -156,3 +158,5 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
