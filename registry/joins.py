@@ -12,8 +12,8 @@ from tallyframe.operators.joining import apply_join
 # Each pair: left and right as (Spark frame, oracle relation), and their keys. Both
 # sides of a pair may be a table or an expression over one, given once for both.
 _NULLED = "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id END AS user_id, event_type FROM events"
-_FIRST_LINE = "SELECT o_orderkey, CAST(1 AS INT) AS line, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'"
-_TEXT_KEY = "SELECT CAST(c_custkey AS {text}) AS cust_text, c_name FROM customer WHERE c_custkey % 3 > 0"
+_FIRST_LINE = "SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, CAST(1 AS INT) AS line, o_orderstatus FROM orders"
+_TEXT_KEY = "SELECT CAST(CASE WHEN c_custkey % 3 > 0 THEN c_custkey ELSE -c_custkey END AS {text}) AS cust_text, c_name FROM customer"
 
 PAIRS = {
     "lineitem_orders": ("lineitem", "orders", ["l_orderkey"], ["o_orderkey"]),
@@ -304,7 +304,8 @@ def join_hot_keys(spark, sf_dir):
     """A join whose busiest keys are split over tasks; the rows are those of any join."""
     lineitem = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
     joined = apply_join(
-        lineitem, read(spark, sf_dir, "supplier").where("s_suppkey % 4 > 0"), how="outer",
+        lineitem, read(spark, sf_dir, "supplier").withColumn(
+            "s_suppkey", F.expr("IF(s_suppkey % 4 > 0, s_suppkey, -s_suppkey)")), how="outer",
         left_on="l_suppkey", right_on="s_suppkey", hot_key_rows=600,
     )
     return joined.df
@@ -343,7 +344,7 @@ QUERIES = {
     **{f"join_overlap_{p}": _overlap(p) for p in _MANY},
     **{f"join_conservation_{p}": _conservation(p) for p in _MANY},
     **{f"join_flags_{p}": _flags(p) for p in _MANY},
-    "unmatched_keys_left": _unmatched_keys("orders_customer", "left"),
+    "unmatched_keys_left": _unmatched_keys("composite", "left"),
     "unmatched_keys_right": _unmatched_keys("events_customer", "right"),
     "unmatched_keys_composite": _unmatched_keys("composite", "right"),
     "unmatched_keys_mismatched": _unmatched_keys("mismatched", "left"),
@@ -385,7 +386,7 @@ ORACLES = {
     "join_conservation_null_keys": conservation_by_joining_sql("null_keys"),
     "join_conservation_composite": conservation_by_joining_sql("composite"),
     **{f"join_flags_{p}": report_sql(p, _FLAGS_SQL) for p in _MANY},
-    "unmatched_keys_left": unmatched_keys_sql("orders_customer", "left"),
+    "unmatched_keys_left": unmatched_keys_sql("composite", "left"),
     "unmatched_keys_right": unmatched_keys_sql("events_customer", "right"),
     "unmatched_keys_composite": unmatched_keys_sql("composite", "right"),
     "unmatched_keys_mismatched": unmatched_keys_sql("mismatched", "left", text=True),
@@ -405,7 +406,7 @@ ORACLES = {
     "join_collision": """SELECT o_custkey AS custkey, o_orderkey AS id, o_totalprice AS amount_x,
         c_acctbal AS amount_y, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "join_hot_keys": """SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, s.* FROM lineitem
-        FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 4 > 0) AS s ON l_suppkey = s_suppkey""",
+        FULL JOIN (SELECT * REPLACE (CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey ELSE -s_suppkey END AS s_suppkey) FROM supplier) AS s ON l_suppkey = s_suppkey""",
     "join_null_keys_apart": f"""SELECT e.*, c.* FROM ({_NULLED}) AS e
         LEFT JOIN customer AS c ON user_id = c_custkey""",
     "join_provenance_left": _provenance_sql("left"),

@@ -80,11 +80,23 @@ def lineage_origins(spark, sf_dir):
 
 
 def lineage_impact(spark, sf_dir):
-    starts = read(spark, sf_dir, "region").where("r_name IS NOT NULL").orderBy("r_name").limit(1).select(
+    starts = read(spark, sf_dir, "region").select(
         F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("start"))
     return L.impact(row_edges(spark, sf_dir), starts)
 
 
+def lineage_origins_deep(spark, sf_dir):
+    """Every line of an order comes from the line before it, the first from the order: trails of up to ten hops."""
+    lines = read(spark, sf_dir, "lineitem")
+    line = lambda n: F.concat_ws(":", F.lit("line"), F.col("l_orderkey").cast("string"), n.cast("string"))
+    each = lines.select("l_orderkey", F.explode(F.sequence(F.lit(1), F.col("l_linenumber").cast("int"))).alias("n")).distinct()
+    chain = each.select(line(F.col("n")).alias("src"), F.when(F.col("n") > 1, line(F.col("n") - 1)).otherwise(
+        F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"))).alias("dst"))
+    above = row_edges(spark, sf_dir).where("dst NOT LIKE 'part:%'")
+    starts = lines.select(line(F.col("l_linenumber").cast("int")).alias("start")).distinct()
+    return L.origins(chain.unionByName(above), starts)
+
+
 # --- measured overlaps --------------------------------------------------------------
 
 _PAIRS = [
@@ -174,6 +186,7 @@ QUERIES = {
     "graph_column_nodes": graph_column_nodes,
     "lineage_origins": lineage_origins,
     "lineage_impact": lineage_impact,
+    "lineage_origins_deep": lineage_origins_deep,
     "measured_overlaps": measured_overlaps,
     "overlap_rollup": overlap_rollup,
     "overlap_stale": overlap_stale,
@@ -251,12 +264,20 @@ ORACLES = {
         UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 1 FROM orders
           WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
     "lineage_impact": """
-        WITH r AS (SELECT r_regionkey FROM region ORDER BY r_name LIMIT 1),
+        WITH r AS (SELECT r_regionkey FROM region),
         n AS (SELECT n_nationkey FROM nation JOIN r ON n_regionkey = r_regionkey),
         c AS (SELECT c_custkey FROM customer JOIN n ON c_nationkey = n_nationkey)
         SELECT 'nation:' || n_nationkey AS node, 1 AS hops FROM n
         UNION ALL SELECT 'customer:' || c_custkey, 2 FROM c
         UNION ALL SELECT 'order:' || o_orderkey, 3 FROM orders JOIN c ON o_custkey = c_custkey""",
+    "lineage_origins_deep": """
+        SELECT DISTINCT 'line:' || l_orderkey || ':' || l_linenumber AS start,
+            CASE WHEN n_regionkey IS NOT NULL THEN 'region:' || n_regionkey WHEN c_nationkey IS NOT NULL THEN 'nation:' || c_nationkey
+                 WHEN o_custkey IS NOT NULL THEN 'customer:' || o_custkey ELSE 'order:' || l_orderkey END AS origin,
+            (l_linenumber + CASE WHEN n_regionkey IS NOT NULL THEN 3 WHEN c_nationkey IS NOT NULL THEN 2
+                 WHEN o_custkey IS NOT NULL THEN 1 ELSE 0 END)::INT AS hops
+        FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+        LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "measured_overlaps": _overlap_rows(lambda i, p, n, a, b: (
         f"'{p['left']}' AS left_table, '{p['left_column']}' AS left_column, '{p['right']}' AS right_table, "
         f"'{p['right_column']}' AS right_column, {n} AS n_shared_values, {a} AS left_coverage, {b} AS right_coverage, "

@@ -1,4 +1,4 @@
-"""Files: typed CSV, sinks read back, file facts and staleness."""
+"""Files: typed CSV and sinks, read back."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from registry.common import read
-from tallyframe.session import checkpoint_dir
-from tallyframe.sources import files, readers, writers
+from tallyframe.session import run_dir
+from tallyframe.sources import readers, writers
 
 
 def _scratch(spark, name: str) -> str:
     """A new path in the folder every executor can reach."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def csv_typed(spark, sf_dir):
@@ -40,35 +40,10 @@ def csv_profile(spark, sf_dir):
     return readers.profile_path(spark, path).select("name", "dtype", "n_rows", "n_null", "n_distinct")
 
 
-def _facts(spark, sf_dir):
-    return files.dataset_facts(spark, {t: f"{sf_dir}/{t}.parquet" for t in ("orders", "customer", "part")})
-
-
-def source_staleness(spark, sf_dir):
-    """Recorded facts against the files now: one unchanged, one grown, one gone, one unrecorded."""
-    now = _facts(spark, sf_dir)
-    recorded = now.select(
-        "source",
-        F.when(F.col("source") == "customer", F.col("size") - 1)
-        .when(F.col("source") != "part", F.col("size")).alias("size"),
-        F.when(F.col("source") != "part", F.col("mtime")).alias("mtime"))
-    gone = recorded.where("source = 'orders'").withColumn("source", F.lit("missing"))
-    return files.stale_sources(recorded.unionByName(gone), now)
-
-
-def source_files(spark, sf_dir):
-    """Every data file of the folder with its size; no content is read."""
-    read(spark, sf_dir, "region")
-    found = files.file_facts(spark, f"{sf_dir}/*.parquet")
-    return found.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("source"), "size")
-
-
 QUERIES = {
     "csv_typed": csv_typed,
     "parquet_sink": parquet_sink,
     "csv_profile": csv_profile,
-    "source_staleness": source_staleness,
-    "source_files": source_files,
 }
 
 ORACLES = {
@@ -81,6 +56,4 @@ ORACLES = {
         f"count(DISTINCT {c}) AS n_distinct FROM customer"
         for c, t in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "bigint"),
                      ("c_acctbal", "double"), ("c_mktsegment", "string"))),
-    "source_staleness": """SELECT * FROM (VALUES ('orders', false), ('customer', true), ('part', false),
-        ('missing', true)) AS v(source, stale)""",
 }

@@ -50,6 +50,9 @@ _SETS = """SELECT doc_id, 'unlabelled' AS why FROM documents WHERE doc_id NOT IN
 _CUBE = """SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total
     FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())"""
 
+_LITERALS = """SELECT event_type, 'load; set' AS mark, count(*) AS force FROM events
+    WHERE event_type <> 'copy;' GROUP BY event_type"""
+
 
 def _sql(statement, *tables):
     return lambda spark, sf_dir: apply_sql({t: read(spark, sf_dir, t) for t in tables}, statement).df
@@ -71,6 +74,7 @@ QUERIES = {
     "sql_step_window": _sql(_RANKED, "orders", "customer", "nation"),
     "sql_step_sets": _sql(_SETS, "documents", "labels"),
     "sql_step_grouping_sets": _sql(_CUBE, "orders"),
+    "sql_step_literals": _sql(_LITERALS, "events"),
 }
 
 _DUCK_CUSTOMER = f"(SELECT c_custkey, c_name, {_SEGMENT} AS segment FROM customer)"
@@ -105,4 +109,5 @@ ORACLES = {
     "sql_step_window": _RANKED,
     "sql_step_sets": _SETS,
     "sql_step_grouping_sets": _CUBE,
+    "sql_step_literals": _LITERALS,
 }

@@ -76,6 +76,8 @@ def distributed_quartiles(
         if not wide:
             break
         _narrow(table, wide, attempt)
+    else:
+        raise RuntimeError(f"quartiles are not pinned down after {MAX_PASSES} passes")
     _read_off(table, [s for s in searches.values() if s.value is None])
     return {
         i: [

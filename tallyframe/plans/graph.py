@@ -15,8 +15,6 @@ from tallyframe.plans.lineage import column_id
 
 LABELS = ("Source", "Model", "Column", "Group")
 STRUCTURAL = ("HAS_COLUMN", "IN_GROUP", "READS", "DERIVES_FROM")
-MAX_ROWS = 25
-MAX_GRAPH_NODES = 600
 
 NODE_COLUMNS = {
     "id": "string", "label": "string", "key": "string", "name": "string", "table_id": "string",
@@ -172,24 +170,26 @@ def actionable_zeros(overlaps: DataFrame) -> DataFrame:
 # --- questions ------------------------------------------------------------------------
 
 
-def _capped(df: DataFrame, relation: str, *order: str) -> DataFrame:
-    """The first rows by name, then one row saying how many more there are."""
-    rows = df.orderBy(*order).limit(MAX_ROWS)
+def _related(df: DataFrame, relation: str, limit: int | None, *order: str) -> DataFrame:
+    """The rows under their relation. With a limit, its first by name and a row saying how many more there are."""
+    rows = df if limit is None else df.orderBy(*order).limit(limit)
     rows = rows.select(F.lit(relation).alias("relation"), *df.columns,
                        F.lit(None).cast("bigint").alias("not_shown"))
-    more = df.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_ROWS).select(
+    if limit is None:
+        return rows
+    more = df.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(
         F.lit(relation).alias("relation"),
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields],
-        (F.col("n") - MAX_ROWS).alias("not_shown"),
+        (F.col("n") - limit).alias("not_shown"),
     )
     return rows.unionByName(more)
 
 
-def table_neighbourhood(nodes, edges, overlaps, table_id: str) -> DataFrame:
+def table_neighbourhood(nodes, edges, overlaps, table_id: str, limit: int | None = None) -> DataFrame:
     """What a table reads, is read by, belongs to, and was measured against.
 
-    A group has one row per member, named in ``member``; a capped relation ends in a
-    row whose ``not_shown`` says how many more there are.
+    A group has one row per member, named in ``member``. With a ``limit`` a longer relation
+    ends in a row whose ``not_shown`` says how many more there are.
     """
     here = F.lit(table_id)
     tables = nodes.select(F.col("id").alias("other"), "label", "name", "key")
@@ -208,19 +208,19 @@ def table_neighbourhood(nodes, edges, overlaps, table_id: str) -> DataFrame:
     counted = touching.groupBy("other").agg(F.count(F.lit(1)).alias("n_measured_pairs"))
     counted = counted.join(tables, "other").select("other", "label", "name", "key", "n_measured_pairs")
     near = [
-        _capped(follow("READS", "src", "dst"), "reads", "name"),
-        _capped(follow("READS", "dst", "src"), "read_by", "name"),
-        _capped(counted, "overlaps", "name"),
+        _related(follow("READS", "src", "dst"), "reads", limit, "name"),
+        _related(follow("READS", "dst", "src"), "read_by", limit, "name"),
+        _related(counted, "overlaps", limit, "name"),
     ]
     member = edges.where(F.col("kind") == "IN_GROUP").join(
         nodes.select(F.col("id").alias("src"), F.col("name").alias("member")), "src"
     ).select(F.col("dst").alias("other"), "member")
-    groups = _capped(follow("IN_GROUP", "src", "dst"), "group", "name").join(member, "other", "left")
+    groups = _related(follow("IN_GROUP", "src", "dst"), "group", limit, "name").join(member, "other", "left")
     near = reduce(DataFrame.unionByName, near).withColumn("member", F.lit(None).cast("string"))
     return near.unionByName(groups).drop("other")
 
 
-def column_lineage(nodes, edges, column: str) -> DataFrame:
+def column_lineage(nodes, edges, column: str, limit: int | None = None) -> DataFrame:
     """One hop each way: what a column derives from and what it feeds."""
     derived = edges.where(F.col("kind") == "DERIVES_FROM")
     named = nodes.select(F.col("id").alias("other"), F.col("name").alias("column"), "table_id")
@@ -231,7 +231,7 @@ def column_lineage(nodes, edges, column: str) -> DataFrame:
         rows = hit.join(named, "other").join(tables, "table_id").select(
             "label", "table", "column", "via", "step"
         )
-        parts.append(_capped(rows, relation, "table", "column"))
+        parts.append(_related(rows, relation, limit, "table", "column"))
     return parts[0].unionByName(parts[1])
 
 
@@ -275,13 +275,16 @@ def merge_build(old_nodes, new_nodes, overlaps) -> DataFrame:
     return new_nodes.unionByName(kept.select(*new_nodes.columns))
 
 
-def subgraph(nodes, edges, overlaps, *, columns: bool = False, cap: int = MAX_GRAPH_NODES):
-    """Nodes and edges to draw: tables and groups, or everything, up to a cap.
+def subgraph(nodes, edges, overlaps, *, columns: bool = False, limit: int | None = None):
+    """Nodes and edges to draw: tables and groups, or everything.
 
-    Returns ``(nodes, edges)``; an edge is kept when both its ends are.
+    Returns ``(nodes, edges)``; an edge is kept when both its ends are. A caller that
+    draws on a page may give a ``limit``; the first nodes by label and name stay.
     """
     labels = LABELS if columns else ("Source", "Model", "Group")
-    shown = nodes.where(F.col("label").isin(*labels)).orderBy("label", "name", "id").limit(cap)
+    shown = nodes.where(F.col("label").isin(*labels))
+    if limit is not None:
+        shown = shown.orderBy("label", "name", "id").limit(limit)
     ids = shown.select("id")
     drawn = edges.select("kind", "src", "dst", F.lit(None).cast("bigint").alias("n_measured_pairs"))
     pairs = overlaps.select(F.lit("OVERLAPS").alias("kind"), "src", "dst",

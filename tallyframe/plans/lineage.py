@@ -14,7 +14,6 @@ from tallyframe.plans.models import build_order
 from tallyframe.plans.spec import run_spec
 from tallyframe.session import pin, small_frame
 
-MAX_HOPS = 6
 STEP_COLUMNS = (
     "model string, step_pos int, step string, op string, out_col string, in_kind string, "
     "in_table string, in_col string, rank int"
@@ -112,33 +111,37 @@ def unresolved(model_columns: DataFrame, composed: DataFrame) -> DataFrame:
 # --- walking ----------------------------------------------------------------------
 
 
-def origins(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """``start, origin, hops``: where each start's trail ends within ``max_hops``.
+def origins(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``start, origin, hops``: where each start's trail ends, at the fewest hops.
 
-    ``edges`` is ``src, dst``; ``starts`` is ``start``. Every edge is marked once with
-    whether its far end leads on, so a hop is one join and one distinct. Hops are
-    pinned: the walk never recomputes itself and stops when no trail is left.
+    ``edges`` is ``src, dst``; ``starts`` is ``start``. The edges that any start can reach
+    are found first, node by node. Origins then travel back along them, one hop a round,
+    and a node takes each of its origins up once, so that cycles end and the many starts
+    are met in the last rounds only. ``max_hops`` leaves out longer trails if given.
     """
-    leads_on = edges.select(F.col("src").alias("dst"), F.lit(True).alias("more")).distinct()
-    step = pin(edges.select("src", "dst").join(leads_on, "dst", "left").select("src", "dst", "more"))
-    frontier = starts.select("start", F.col("start").alias("node")).distinct()
-    found = []
-    for hop in range(1, max_hops + 1):
-        reached = pin(
-            frontier.join(step, F.col("node") == F.col("src"))
-            .select("start", F.col("dst").alias("node"), "more")
-            .distinct()
-        )
-        found.append(
-            reached.where(F.col("more").isNull()).select(
-                "start", F.col("node").alias("origin"), F.lit(hop).alias("hops")
-            )
-        )
-        frontier = reached.where("more").select("start", "node")
-        if frontier.isEmpty():
+    every = pin(edges.select("src", "dst").distinct())
+    seen = [starts.select(F.col("start").alias("src")).distinct()]
+    while True:
+        known = reduce(DataFrame.unionByName, seen)
+        further = every.join(seen[-1], "src").select(F.col("dst").alias("src")).distinct()
+        seen.append(pin(further.join(known, "src", "left_anti")))
+        if seen[-1].isEmpty():
+            break
+    live = pin(every.join(known, "src", "left_semi"))
+    ends = live.select(F.col("dst").alias("node")).distinct().join(
+        every.select(F.col("src").alias("node")), "node", "left_anti")
+    reached = [pin(ends.select("node", F.col("node").alias("origin"), F.lit(0).alias("hops")))]
+    while max_hops is None or len(reached) <= max_hops:
+        back = live.join(reached[-1], F.col("dst") == F.col("node")).select(
+            F.col("src").alias("node"), "origin", F.lit(len(reached)).alias("hops")).distinct()
+        known = reduce(DataFrame.unionByName, reached).select("node", "origin")
+        found = pin(back.join(known, ["node", "origin"], "left_anti"))
+        if found.isEmpty():
             break
-    trails = reduce(DataFrame.unionByName, found)
-    return trails.groupBy("start", "origin").agg(F.min("hops").alias("hops"))
+        reached.append(found)
+    trails = reduce(DataFrame.unionByName, reached).where(F.col("hops") > 0)
+    return trails.join(starts.select(F.col("start").alias("node")).distinct(), "node", "left_semi").select(
+        F.col("node").alias("start"), "origin", "hops")
 
 
 def impact(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:

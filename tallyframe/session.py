@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import lru_cache
 
@@ -28,42 +27,37 @@ _RUNTIME = {
     "spark.sql.runSQLOnFiles": "false",
 }
 
-SHUFFLE_TARGET_BYTES = 128 * 1024 * 1024
-
-
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session the caller made."""
+    """Apply the runtime settings to a session the caller made; they stay set."""
     for key, value in _RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
 
 
-def size_shuffle(spark: SparkSession, input_bytes: int) -> int:
-    """Raise the shuffle width so one partition stays near 128 MB of input.
-
-    Never lowers what the session already has: adaptive execution merges small
-    partitions, but it cannot split an aggregation that started too narrow.
-    """
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = -(-int(input_bytes) // SHUFFLE_TARGET_BYTES)
-    if wanted > current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-        return wanted
-    return current
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's, else one of our own."""
+    """The shared folder for cut lineage: the configured one, else one beside the warehouse's tables."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
         return configured
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
-    return spark.sparkContext.getCheckpointDir()
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder there. It goes when the application ends, on errors too."""
+    context = spark.sparkContext
+    path = f"{checkpoint_dir(spark)}/tallyframe-{context.applicationId}"
+    if path not in _OWN:
+        hadoop = context._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(path)
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _OWN.add(path)
+    return path
+
+
+_OWN: set[str] = set()
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -71,10 +65,10 @@ def pin(df: DataFrame) -> DataFrame:
 
     Used where several jobs read one produced table. A written table cuts the
     lineage, survives lost executors, and later readers still load only the
-    columns they need. The cluster clears the folder as it does checkpoints.
+    columns they need. It lives as long as the application.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/pinned-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/pinned-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -40,6 +40,10 @@ def read_csv_text(spark: SparkSession, path: str, *, multi_line: bool = False) -
     return table.select(*cells)
 
 
+# whole numbers that a number would not give back: leading zeros, too many digits
+_CODE = r"^\s*[+-]?(0\d+|\d{16,})\s*$"
+
+
 def _parsed(column: Column, pattern: str, dtype: str) -> Column:
     return F.when(column.rlike(pattern), column.try_cast(dtype))
 
@@ -47,21 +51,24 @@ def _parsed(column: Column, pattern: str, dtype: str) -> Column:
 def infer_types(text: DataFrame) -> dict[str, str]:
     """The narrowest type every non-null value of each column satisfies.
 
-    One pass over all rows; a column without values stays text.
+    One pass over all rows; a column without values stays text, and so does one with
+    numbers that would lose digits: codes with leading zeros and very long integers.
     """
-    table = positional(text)
-    counts = []
-    for c in table.columns:
-        counts.append(F.count(c).alias(f"{c}_all"))
-        for j, (pattern, dtype) in enumerate(_TYPES):
-            counts.append(F.count(_parsed(F.col(c), pattern, dtype)).alias(f"{c}_{j}"))
-    row = table.agg(*counts).first()
-    found = {}
-    for c, name in zip(table.columns, text.columns):
-        present = row[f"{c}_all"]
-        fits = [t for j, (_, t) in enumerate(_TYPES) if present and row[f"{c}_{j}"] == present]
-        found[name] = fits[0] if fits else "string"
-    return found
+    cells = positional(text)
+    cell = F.col("cell")
+    code = cell.rlike(_CODE)
+    counts = [F.count("cell").alias("present"),
+              # an integer of up to 18 digits keeps all it says, unless zeros lead it
+              F.count(F.when(code & (cell.rlike(r"^\s*[+-]?0") | (F.length(F.trim("cell")) > 18)), 1)).alias("codes")]
+    counts += [F.count(_parsed(cell, pattern, dtype)).alias(f"t{j}") for j, (pattern, dtype) in enumerate(_TYPES)]
+    # one row per cell, so that a wide table needs no more aggregates than a narrow one
+    found = cells.select(F.posexplode(F.array(*cells.columns)).alias("at", "cell")).groupBy("at").agg(*counts).collect()
+    types = dict.fromkeys(text.columns, "string")
+    for row in found:
+        fits = [t for j, (_, t) in enumerate(_TYPES) if row["present"] and row[f"t{j}"] == row["present"]
+                and not (row["codes"] and t in ("bigint", "double"))]
+        types[text.columns[row["at"]]] = fits[0] if fits else "string"
+    return types
 
 
 def read_csv(spark: SparkSession, path: str, *, types: dict | None = None,

@@ -127,14 +127,29 @@ def test_walks_survive_cycles_and_diamonds(spark):
     assert L.origins(edges, starts, max_hops=2).count() == 0
 
 
+def test_long_trails_are_followed_to_their_end(spark):
+    chain = spark.range(12).selectExpr("concat('n', id) AS src", "concat('n', id + 1) AS dst")
+    starts = spark.createDataFrame([("n0",), ("n9",)], "start string")
+    assert {tuple(r) for r in L.origins(chain, starts).collect()} == {("n0", "n12", 12), ("n9", "n12", 3)}
+
+
+def test_a_large_graph_is_drawn_whole_unless_limited(spark):
+    nodes = spark.range(700).selectExpr("concat('model:m', id) AS id", "'Model' AS label", "concat('m', id) AS name")
+    edges = spark.range(699).selectExpr("'READS' AS kind", "concat('model:m', id) AS src", "concat('model:m', id + 1) AS dst")
+    none = spark.createDataFrame([], "src string, dst string, src_table string, dst_table string")
+    assert [f.count() for f in G.subgraph(nodes, edges, none)] == [700, 699]
+    assert G.subgraph(nodes, edges, none, limit=600)[0].count() == 600
+
+
 def test_long_lists_say_what_is_missing(spark):
     nodes = spark.range(30).selectExpr(
         "concat('model:m', id) AS id", "'Model' AS label", "concat('m', id) AS key", "concat('m', id) AS name",
         "CAST(NULL AS STRING) AS table_id")
     edges = spark.range(1, 30).selectExpr("'READS' AS kind", "concat('model:m', id) AS src", "'model:m0' AS dst")
     none = spark.createDataFrame([], "src string, dst string, src_table string, dst_table string")
-    rows = G.table_neighbourhood(nodes, edges, none, "model:m0").collect()
-    assert len(rows) == G.MAX_ROWS + 1
+    assert G.table_neighbourhood(nodes, edges, none, "model:m0").count() == 29
+    rows = G.table_neighbourhood(nodes, edges, none, "model:m0", limit=25).collect()
+    assert len(rows) == 26
     assert [r["not_shown"] for r in rows if r["not_shown"]] == [4]
 
 

@@ -39,6 +39,18 @@ def test_other_texts_are_not_missing(spark, tmp_path):
     assert readers.load_table(spark, path).where("a IS NULL").count() == 0
 
 
+def test_codes_and_very_long_integers_stay_text(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("code,long,n,signed\n00123,12345678901234567890,12,-7\n456,1,0,+8\n")
+    table = readers.load_table(spark, str(tmp_path / "c.csv"))
+    assert dict(table.dtypes) == {"code": "string", "long": "string", "n": "bigint", "signed": "bigint"}
+    assert table.first()["code"] == "00123"
+
+
+def test_two_hundred_columns_are_typed_in_one_pass(spark, tmp_path):
+    (tmp_path / "w.csv").write_text(",".join(f"c{i}" for i in range(200)) + "\n" + ",".join(str(i) for i in range(200)) + "\n")
+    assert {t for _, t in readers.load_table(spark, str(tmp_path / "w.csv")).dtypes} == {"bigint"}
+
+
 def test_quotes_spaces_and_commas_survive_a_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi", you'), (2, "  padded "), (3, "back\\slash"), (4, None)],
                                "id bigint, text string")

@@ -90,6 +90,9 @@ REFUSED = (
     "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
     "SELECT * FROM a JOIN LATERAL (SELECT * FROM secret) ON true",
     "SELECT TRANSFORM(x) USING 'cat' FROM a", "SELECT * FROM read_files('/tmp')",
+    "SELECT * FROM IDENTIFIER('secret')", "SELECT * FROM IDENTIFIER('sec' || 'ret')",
+    "WITH q AS (SELECT * FROM IDENTIFIER('secret')) SELECT * FROM q",
+    "SELECT (SELECT max(id) FROM IDENTIFIER('secret')) AS m FROM a", "TABLE secret",
     "COPY a TO 'x'", "EXPORT DATABASE 'x'", "ATTACH 'x'", "INSTALL httpfs", "LOAD x",
 )
 
@@ -113,6 +116,11 @@ def test_everything_else_is_refused(inputs, sql):
     assert isinstance(refused.value, SqlRefused) or "PARSE_SYNTAX_ERROR" in str(refused.value)
 
 
+@pytest.mark.parametrize("sql", ("SELECT 'load' AS w FROM a", "SELECT 'a;b' AS w FROM a", "SELECT 1 AS force, 2 AS copy FROM a"))
+def test_words_in_literals_and_names_are_allowed(inputs, sql):
+    assert apply_sql(inputs, sql).df.count() == inputs["a"].count()
+
+
 def test_views_of_the_caller_come_back(spark, inputs):
     spark.range(9).createOrReplaceTempView("a")
     apply_sql(inputs, "SELECT * FROM a")
