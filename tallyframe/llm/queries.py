@@ -157,6 +157,14 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)""",
+    "op5_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+              ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        c(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.x, c.root FROM c JOIN l ON l.y = c.vec_id)
+        SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.x = v.vec_id) AS n_links, r.component_id,
+               v.vec_id = r.component_id AS kept
+        FROM v JOIN (SELECT vec_id, min(root) AS component_id FROM c GROUP BY vec_id) r USING (vec_id)""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
