@@ -275,16 +275,16 @@ def merge_build(old_nodes, new_nodes, overlaps) -> DataFrame:
     return new_nodes.unionByName(kept.select(*new_nodes.columns))
 
 
-def subgraph(nodes, edges, overlaps, *, columns: bool = False, limit: int | None = None):
+def subgraph(nodes, edges, overlaps, *, columns: bool = False, cap: int | None = None):
     """Nodes and edges to draw: tables and groups, or everything.
 
     Returns ``(nodes, edges)``; an edge is kept when both its ends are. A caller that
-    draws on a page may give a ``limit``; the first nodes by label and name stay.
+    draws on a page may give a ``cap``; the first nodes by label and name stay.
     """
     labels = LABELS if columns else ("Source", "Model", "Group")
     shown = nodes.where(F.col("label").isin(*labels))
-    if limit is not None:
-        shown = shown.orderBy("label", "name", "id").limit(limit)
+    if cap is not None:
+        shown = shown.orderBy("label", "name", "id").limit(cap)
     ids = shown.select("id")
     drawn = edges.select("kind", "src", "dst", F.lit(None).cast("bigint").alias("n_measured_pairs"))
     pairs = overlaps.select(F.lit("OVERLAPS").alias("kind"), "src", "dst",

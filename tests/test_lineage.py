@@ -138,7 +138,7 @@ def test_a_large_graph_is_drawn_whole_unless_limited(spark):
     edges = spark.range(699).selectExpr("'READS' AS kind", "concat('model:m', id) AS src", "concat('model:m', id + 1) AS dst")
     none = spark.createDataFrame([], "src string, dst string, src_table string, dst_table string")
     assert [f.count() for f in G.subgraph(nodes, edges, none)] == [700, 699]
-    assert G.subgraph(nodes, edges, none, limit=600)[0].count() == 600
+    assert G.subgraph(nodes, edges, none, cap=600)[0].count() == 600
 
 
 def test_long_lists_say_what_is_missing(spark):
