@@ -121,6 +121,24 @@ def test_lines_go_if_an_earlier_one_is_like_them(docs):
     assert lines.deduplicate(docs().limit(0)).count() == 0
 
 
+def test_lines_stand_by_doc_id_in_whatever_order_rows_are_read(docs):
+    base = [f"w{n}" for n in range(10)]
+    near = " ".join(base[:9])
+    # the one task reads the line at 10 before it reads it at 3
+    got = lines.deduplicate(docs((10, " ".join(base)), (3, " ".join(base)), (5, near)).coalesce(1))
+    assert rows(got, "doc_id", "text") == sorted([(3, " ".join(base)), (5, ""), (10, "")], key=str)
+    pick = random.Random(9)
+    table = [(n, " ".join(pick.sample(base, pick.randint(8, 10)))) for n in range(60)]
+    pick.shuffle(table)
+    want, before = {}, []
+    for doc, text in sorted(table):
+        words = frozenset(text.split())
+        want[doc] = "" if any(_similar(words, w) for w in before) else text
+        before.append(words)
+    got = lines.deduplicate(docs(*table).coalesce(1))
+    assert rows(got, "doc_id", "text") == sorted(want.items(), key=str)
+
+
 def test_later_rows_of_a_large_group_of_near_lines_go(docs):
     base = [f"w{n}" for n in range(40)]
     table = [(n, " ".join(base[:n % 40] + [f"x{n}"] + base[n % 40 + 1:])) for n in range(200)]
