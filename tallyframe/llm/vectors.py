@@ -19,7 +19,7 @@ MAX_CODES = 1_024  # codewords of a half, at most
 SAMPLE_PER_CODE = 64  # vectors of the sample for each codeword; bounds the sample
 TARGET_RECALL = 0.9999
 MIN_CELLS = 8  # cells visited in any case
-MAX_CELLS = 256  # cells visited for one vector, at most; beyond it fit() says so
+PAIRS_EACH = 4  # linked pairs of one sampled vector that the number of visits is taken from
 BLOCK_ROWS = 4_096  # members or visitors of a cell compared in one go
 
 EMPTY = pa.array([], pa.int64())
@@ -92,31 +92,39 @@ class Index:
             seen.append([i * wide + j for (i, j), _ in zip(walk, range(self.visits))])
         return own, seen
 
+    def rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Cells that the search of each x visits until it has been at the cell of its y."""
+        (one, two), (to_one, to_two) = self.distances(x), self.distances(y)
+        out = np.empty(len(x), np.int64)
+        for n, (a, b, i, j) in enumerate(zip(one, two, to_one.argmin(1), to_two.argmin(1))):
+            out[n] = np.searchsorted(np.sort(b), a[i] + b[j] - a, side="right").sum()
+        return np.maximum(out, 1)
+
 
 def fit(sample: np.ndarray, rows: int, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> Index:
     """Codebooks from a bounded sample, and as many visits as reach the target recall.
 
-    Recall is measured on pairs of the sample that link, and on as many made up to lie
-    at the threshold itself where the sample has under 200.
+    Recall is measured on pairs of the sample that link, a few of each vector so that no
+    group outweighs the rest, and on as many made up to lie at the threshold itself. The
+    target is met on both, however many cells that takes.
     """
     half = sample.shape[1] // 2
     size = max(1, min(MAX_CODES, round(math.sqrt(rows / CELL_ROWS))))
     index = Index(codebook(sample[:, :half], size), codebook(sample[:, half:], size), 1)
-    tried = sample[:2000]
-    a, b = np.nonzero(np.triu(tried @ tried.T >= threshold, 1))
-    left, right = tried[a[:5000]], tried[b[:5000]]
-    if len(left) < 200:
-        made = np.random.default_rng(42).normal(size=tried.shape)
-        made -= (made * tried).sum(1, keepdims=True) * tried
-        made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
-        left, right = np.vstack([left, tried]), np.vstack(
-            [right, threshold * tried + math.sqrt(1 - threshold ** 2) * made])
-    wide, home = len(index.second), Index.cells(index, right)[0]
-    needed = []
-    for (one, two), cell in zip(zip(*index.distances(left)), home):
-        reached = (n for n, (i, j) in enumerate(traverse(one, two), 1) if i * wide + j == cell or n >= MAX_CELLS)
-        needed.append(next(reached, MAX_CELLS))
-    index.visits = max(MIN_CELLS, int(np.quantile(needed, target, method="higher")))
+    tried, pick = sample[:2000], np.random.default_rng(42)
+    linked = tried @ tried.T >= threshold
+    np.fill_diagonal(linked, False)
+    pairs = [(a, b) for a, row in enumerate(linked) for b in pick.permutation(np.flatnonzero(row))[:PAIRS_EACH]]
+    made = pick.normal(size=tried.shape)
+    made -= (made * tried).sum(1, keepdims=True) * tried
+    made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+    # a pair is found from either end
+    either = lambda x, y: np.minimum(index.rank(x, y), index.rank(y, x))
+    needed = [either(tried, threshold * tried + math.sqrt(1 - threshold ** 2) * made)]
+    if pairs:
+        a, b = np.array(pairs).T
+        needed.append(either(tried[a], tried[b]))
+    index.visits = max(MIN_CELLS, *(int(np.quantile(n, target, method="higher")) for n in needed))
     return index
 
 

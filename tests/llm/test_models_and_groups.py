@@ -93,6 +93,26 @@ def test_vectors_link_as_by_brute_force(spark):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_visits_are_enough_beside_a_group_of_near_copies():
+    pick = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = lambda x, spread: unit(x + spread * pick.normal(size=x.shape))
+    tight = near(np.repeat(unit(pick.normal(size=(1, 32))), 1500, 0), 0.002)
+    base = unit(pick.normal(size=(1500, 32)))
+    # cosines of partners lie around the threshold
+    x = np.vstack([tight, base, near(base, 0.055)])
+    pick.shuffle(x)
+    index = vectors.fit(x, 40_000)
+    own, seen = index.cells(x)
+    a, b = np.nonzero(np.triu(x @ x.T >= vectors.THRESHOLD, 1))
+    in_group = np.isin(np.arange(len(x)), np.flatnonzero((x @ x.T >= 0.999).sum(1) > 1000))
+    loose = ~in_group[a]
+    seen = [set(s) for s in seen]
+    found = np.array([own[q] in seen[p] or own[p] in seen[q] for p, q in zip(a[loose], b[loose])])
+    assert len(found) > 500 and found.mean() >= 0.999
+    assert index.visits < len(index.first) * len(index.second)
+
+
 def _probabilities(table, held):
     tokens = {d: [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"] for d, t in table}
     words, pairs, count = Counter(), Counter(), 0
