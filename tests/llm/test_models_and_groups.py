@@ -11,7 +11,7 @@ from llm_tables import docs, rows  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyframe.llm import katz, language, queries, simhash, toxicity, vectors
+from tallyframe.llm import katz, language, queries, shingles, simhash, toxicity, vectors
 from tallyframe.llm.common import components
 
 DATA = "/root/testdata/sf0.001"
@@ -113,6 +113,38 @@ def test_visits_are_enough_beside_a_group_of_near_copies():
     assert index.visits < len(index.first) * len(index.second)
 
 
+def test_near_documents_go_as_by_brute_force(spark, docs):
+    pick = random.Random(8)
+    base = [[f"w{pick.randint(0, 4000)}" for _ in range(pick.randint(60, 200))] for _ in range(20)]
+    table = []
+    for doc in range(150):
+        words = list(pick.choice(base))
+        for _ in range(pick.randint(0, 4)):
+            words[pick.randrange(len(words))] = f"x{pick.randint(0, 9)}"
+        table.append((doc + 10, " ".join(words)))
+    table += [(200 + n, " ".join(base[0][:n] + [f"y{n}"] + base[0][n + 1:])) for n in range(50)]
+    table += [(1, None), (2, " "), (3, "one two"), (4, "ONE  two"), (5, "one two three"), (None, table[0][1])]
+    pick.shuffle(table)
+
+    def cut(text):
+        words = (text or "").lower().split()
+        return frozenset(tuple(words[n:n + 5]) for n in range(max(1, len(words) - 4))) if words else frozenset()
+    sets = {d: cut(t) for d, t in table if d is not None}
+    like = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    pairs = [(a, b) for a in sets for b in sets if a < b and like(sets[a], sets[b])]
+    of = roots(pairs, sets)
+    # many pairs that are near in shingles are not within four bits
+    prints = {d: simhash.fingerprint(t, 5) for d, t in table if d is not None}
+    assert sum((prints[a] ^ prints[b]).bit_count() > 4 for a, b in pairs) > len(pairs) / 4
+    kept = corpus_pipeline.near_dedup(spark, docs(*table), DATA)
+    assert kept.columns == docs().columns
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(d for d in sets if of[d] == d)
+    assert kept.where("doc_id IS NULL").count() == 1
+    links = shingles.similar_sets(docs(*table).where("doc_id IS NOT NULL")).count()
+    assert links < len(pairs)
+    assert corpus_pipeline.near_dedup(spark, docs().limit(0), DATA).count() == 0
+
+
 def _probabilities(table, held):
     tokens = {d: [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"] for d, t in table}
     words, pairs, count = Counter(), Counter(), 0
