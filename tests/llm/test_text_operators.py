@@ -139,6 +139,12 @@ def test_lines_stand_by_doc_id_in_whatever_order_rows_are_read(docs):
     assert rows(got, "doc_id", "text") == sorted(want.items(), key=str)
 
 
+def test_near_copies_of_very_long_lines_go(docs):
+    words = [f"{n:x}" for n in range((1 << 20) + 5)]
+    got = lines.deduplicate(docs((1, " ".join(words)), (2, " ".join(words[:-1] + ["zz"]))))
+    assert [r.doc_id for r in got.where("text <> ''").select("doc_id").collect()] == [1]
+
+
 def test_later_rows_of_a_large_group_of_near_lines_go(docs):
     base = [f"w{n}" for n in range(40)]
     table = [(n, " ".join(base[:n % 40] + [f"x{n}"] + base[n % 40 + 1:])) for n in range(200)]
