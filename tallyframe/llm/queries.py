@@ -6,7 +6,8 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import bpe, chat, decontaminate, katz, language, lines, simhash, substring, toxicity, vectors
+from tallyframe.llm import (
+    bpe, chat, decontaminate, importance, katz, language, lines, simhash, substring, toxicity, variants, vectors)
 from tallyframe.llm.common import read
 from tallyframe.llm.language import fold_of
 
@@ -81,6 +82,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    gain = importance.gains(documents, read(spark, sf_dir, "benchmark"))
+    return importance.draw(importance.weigh(documents, gain))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -93,6 +104,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
