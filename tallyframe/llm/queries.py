@@ -179,5 +179,59 @@ ORACLES: dict[str, str] = {
                v.vec_id = r.component_id AS kept
         FROM v JOIN (SELECT vec_id, min(root) AS component_id FROM c GROUP BY vec_id) r USING (vec_id)""",
 }
+# CRC-32 of a string's UTF-8 bytes in DuckDB: ``bits`` is the table of its 256 steps
+_CRC_BITS = """bits AS (SELECT list(list_reduce(range(8), lambda r, k: xor(r >> 1, (r & 1) * 3988292384), i) ORDER BY i) AS tab
+                 FROM range(256) t(i))"""
+
+
+def _crc(text: str) -> str:
+    digit = "instr('123456789ABCDEF', hex({0})[2 * i + {1}])".format
+    steps = f"list_transform(range(strlen({text})), lambda i: 16 * {digit(text, 1)} + {digit(text, 2)})"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+
+ORACLES["op11_importance_resampling"] = rf"""
+        WITH {_CRC_BITS},
+        x AS (SELECT true AS own, doc_id, text FROM documents UNION ALL SELECT false, row_number() OVER (), text FROM benchmark),
+        w AS (SELECT own, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+        f AS (SELECT own, doc_id, array_to_string(w[s:s + k - 1], ' ') AS gram
+              FROM (SELECT own, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, range(1, 4) r(k))),
+        n AS (SELECT own, doc_id, gram, count(*) AS n FROM f GROUP BY ALL),
+        c AS (SELECT gram, {_crc('gram')} % 10000 AS bucket FROM (SELECT DISTINCT gram FROM n), bits),
+        m AS (SELECT own, doc_id, bucket, sum(n) AS n FROM n JOIN c USING (gram) GROUP BY ALL),
+        b AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM m GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+                                             / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS gain FROM b),
+        d AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+              FROM m JOIN g USING (bucket) WHERE own GROUP BY doc_id),
+        h AS (SELECT doc_id, len(w) >= 20 AS fit, ('0x' || sha256('42:' || doc_id)[1:8])::BIGINT AS h FROM w WHERE own),
+        e AS (SELECT doc_id, fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                     coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+              FROM h LEFT JOIN d USING (doc_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place,
+                     5 * count(*) OVER (PARTITION BY fit) // 100 AS drawn FROM e)
+        SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= drawn THEN place END AS rank FROM r"""
+ORACLES["op12_spelling_variants"] = rf"""
+        WITH RECURSIVE {_CRC_BITS},
+        w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+        k AS (SELECT doc_id || ':' || run AS tag, run, count(*) AS n FROM w GROUP BY ALL),
+        h AS (SELECT run, n, {_crc('tag')} AS h FROM k, bits),
+        v AS (SELECT word, sum(n)::BIGINT AS n FROM (
+                SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h)
+              WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS spot FROM v),
+        q AS (SELECT word, n, word[1:spot - 1] || word[spot + 1:] AS less, word[1:spot - 1] || '*' || word[spot + 1:] AS hole FROM p),
+        e AS (SELECT a.word AS x, b.word AS y FROM q a JOIN q b ON a.hole = b.hole AND a.word <> b.word
+              UNION SELECT q.word, v.word FROM q JOIN v ON q.less = v.word
+              UNION SELECT v.word, q.word FROM q JOIN v ON q.less = v.word),
+        m AS (SELECT v.word, any_value(v.n) AS n, count(y) AS n_near,
+                     arg_min(y, (-o.n, y)) AS near, max(o.n) AS near_n
+              FROM v LEFT JOIN e ON x = v.word LEFT JOIN v o ON o.word = y GROUP BY v.word),
+        g AS (SELECT word, n, n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM m),
+        t(word, root) AS (SELECT word, word FROM g UNION ALL SELECT t.word, g.form FROM t JOIN g ON g.word = t.root WHERE g.form IS NOT NULL)
+        SELECT g.word, g.form, t.root, g.n, g.n_near, g.form_n FROM g JOIN t USING (word)
+        JOIN g z ON z.word = t.root AND z.form IS NULL"""
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
