@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm import (
-    bpe, chat, decontaminate, importance, katz, language, lines, simhash, substring, toxicity, variants, vectors)
+    bpe, chat, decontaminate, importance, katz, language, lines, simhash, substring, toxicity, variants, vectors,
+    wrapper)
 from tallyframe.llm.common import read
 from tallyframe.llm.language import fold_of
 
@@ -92,6 +93,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(read(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -106,6 +112,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLES: dict[str, str] = {
