@@ -1,8 +1,8 @@
 """Queries over the given tables, each with the SQL that must agree with it."""
 
-from registry import catalog, joins, lineage, logs, outcomes, profiles, sources, specs, transforms
+from registry import catalog, joins, lineage, logs, outcomes, profiles, sources, specs, timed, transforms
 
-MODULES = (profiles, catalog, joins, transforms, outcomes, specs, lineage, logs, sources)
+MODULES = (profiles, catalog, joins, transforms, outcomes, specs, lineage, logs, sources, timed)
 
 
 def queries() -> dict:
