@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions.evidence import plain
 from tallyframe.operators import keys as K
@@ -195,6 +195,39 @@ class JoinCheck:
             )
         )
 
+    def evidence(self) -> DataFrame:
+        """The findings' example rows as one frame: ``evidence, place, row, n_left, n_right``.
+
+        ``row`` is the example as JSON, a key for fan-out. Each side's rows are read once:
+        a row is marked by whether its key is null or met, and of every kind each task
+        keeps but the few smallest rows before any are sent.
+        """
+        parts = [self._marked_rows(which) for which in ("left", "right")]
+        key = F.to_json(F.struct(*[F.col(f"`{n}`") for n in self.keys.left]), {"ignoreNullFields": "false"})
+        hot = self.fan_out_examples()
+        order = Window.orderBy(F.expr(_PRODUCT.replace("ln", "n_left").replace("rn", "n_right")).desc(),
+                               *[F.col(f"`{n}`").asc_nulls_last() for n in self.keys.left])
+        parts.append(hot.select(F.lit("fan_out_examples").alias("evidence"), F.row_number().over(order).alias("place"),
+                                key.alias("row"), "n_left", "n_right"))  # of a handful of rows
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def _marked_rows(self, which: str) -> DataFrame:
+        (df, names, types), facing = self._facing(which)
+        own = [K.named(df, n) for n in names]
+        other = K.prefixed(self.counts(facing), "r").drop("rn").withColumn("met", F.lit(True))
+        match = reduce(lambda a, b: a & b, [
+            e == F.col(f"rk{i}") for i, e in enumerate(K.compared(own, types, self.plan))])
+        columns = [f"c{i}" for i in range(len(df.columns))]
+        marked = df.join(other, match, "left").select(
+            F.when(~K.all_present(own), f"null_key_{which}_rows").when(F.col("met").isNull(), f"unmatched_{which}_rows").alias("evidence"),
+            *[K.named(df, n).alias(c) for n, c in zip(df.columns, columns)])
+        ordered = [F.to_json(c) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(c)
+                   for c, f in zip(columns, df.schema.fields)]
+        place = F.row_number().over(Window.partitionBy("evidence").orderBy(*[c.asc_nulls_last() for c in ordered]))
+        few = marked.where("evidence IS NOT NULL").withColumn("place", place).where(F.col("place") <= EXAMPLE_ROWS)
+        row = F.to_json(F.struct(*[F.col(c).alias(n) for n, c in zip(df.columns, columns)]), {"ignoreNullFields": "false"})
+        return few.select("evidence", "place", row.alias("row"))
+
     # --- edge -------------------------------------------------------------
 
     def report_dict(self) -> dict:
