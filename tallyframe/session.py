@@ -27,6 +27,9 @@ _RUNTIME = {
     "spark.sql.runSQLOnFiles": "false",
 }
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session the caller made; they stay set."""
     for key, value in _RUNTIME.items():
@@ -65,11 +68,17 @@ def pin(df: DataFrame) -> DataFrame:
 
     Used where several jobs read one produced table. A written table cuts the
     lineage, survives lost executors, and later readers still load only the
-    columns they need. It lives as long as the application.
+    columns they need. It lives as long as the application; the shuffles it was
+    computed with go at once, since nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/pinned-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "snappy").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
