@@ -14,8 +14,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-TEXT_BYTES = 8 << 20  # texts are gathered to about so many bytes before the kernels run
+TEXT_BYTES = 4 << 20  # texts are gathered to about so many bytes before the kernels run
 
 
 class Words(NamedTuple):
@@ -62,6 +63,27 @@ def split(texts: pa.Array, gaps: str) -> Words:
     return Words(coded.dictionary, coded.indices.to_numpy().astype(np.int64), row.filter(real).to_numpy().astype(np.int64))
 
 
+HASHED_BYTES = 48
+_TABLE: list[np.ndarray] = []
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words: for every byte a number drawn for its place and value, exclusive-ored; XXH64 for long words."""
+    if not _TABLE:  # the same numbers in every task
+        _TABLE.append(np.random.default_rng(20_240_229).integers(0, 1 << 64, HASHED_BYTES << 8, np.uint64))
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    starts, size = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(starts, size)
+    mixed = _TABLE[0].take((np.minimum(place, HASHED_BYTES - 1) << 8) + data)
+    out = np.bitwise_xor.reduceat(mixed, starts)
+    for at in np.flatnonzero(size > HASHED_BYTES):
+        out[at] = xxhash.xxh64_intdigest(data[starts[at]:starts[at] + size[at]].tobytes())
+    return out
+
+
 def checksums(words: pa.Array, before: bytes = b"") -> np.ndarray:
     """CRC-32 of each word with some bytes put before it."""
     start = zlib.crc32(before)
