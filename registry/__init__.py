@@ -1,8 +1,8 @@
 """Queries over the given tables, each with the SQL that must agree with it."""
 
-from registry import catalog, comparing, joins, lineage, logs, outcomes, profiles, shaping, sources, specs, timed, transforms
+from registry import catalog, comparing, graphs, joins, lineage, logs, outcomes, profiles, shaping, sources, specs, timed, transforms
 
-MODULES = (profiles, catalog, joins, transforms, outcomes, specs, lineage, logs, sources, timed, shaping, comparing)
+MODULES = (profiles, catalog, joins, transforms, outcomes, specs, lineage, logs, sources, timed, shaping, comparing, graphs)
 
 
 def queries() -> dict:

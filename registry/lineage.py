@@ -31,7 +31,7 @@ def _graph(spark, sf_dir, measured: bool):
     model_columns = steps.join(last, ["model", "step_pos"]).select(
         "model", F.col("out_col").alias("column")).distinct()
     composed = L.compose(steps, depth)
-    reads = steps.select("model", "in_kind", "in_table").distinct()
+    reads = L.model_reads(spark, MODELS)
     models = steps.select(F.col("model").alias("name")).distinct()
     nodes = pin(G.build_nodes(sources, columns, models, model_columns,
                               unresolved=L.unresolved(model_columns, composed)))
@@ -282,9 +282,8 @@ ORACLES = {
         f"'{p['left']}' AS left_table, '{p['left_column']}' AS left_column, '{p['right']}' AS right_table, "
         f"'{p['right_column']}' AS right_column, {n} AS n_shared_values, {a} AS left_coverage, {b} AS right_coverage, "
         f"{'false' if i == _TEXT_PAIR else 'true'} AS comparable_types, '{p['reason']}' AS asked_because")),
-    "overlap_rollup": """SELECT src AS src_table, dst AS dst_table, count(*) AS n_measured_pairs FROM (VALUES
-        """ + ", ".join(f"('source:{p['left']}.parquet', 'source:{p['right']}.parquet')" for p in _PAIRS)
-        + ") AS v(src, dst) GROUP BY src, dst",
+    "overlap_rollup": "SELECT src_table, dst_table, count(*) AS n_measured_pairs FROM (" + _overlap_rows(lambda i, p, n, a, b: (
+        f"'source:{p['left']}.parquet' AS src_table, 'source:{p['right']}.parquet' AS dst_table, {n} AS n")) + ") GROUP BY ALL",
     "overlap_stale": _overlap_rows(lambda i, p, n, a, b: (
         f"{_end(p, 'left')} AS src, {_end(p, 'right')} AS dst, {n} AS n_shared_values, {_stale(p)} AS stale")),
     "actionable_zeros": "SELECT src, dst, asked_because FROM (" + _overlap_rows(lambda i, p, n, a, b: (

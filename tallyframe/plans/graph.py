@@ -167,6 +167,26 @@ def actionable_zeros(overlaps: DataFrame) -> DataFrame:
     return overlaps.where((F.col("n_shared_values") == 0) & F.col("comparable_types"))
 
 
+def find(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes that a user may mean: by id, by key (a path, or table and column), or by name."""
+    return nodes.where((F.col("id") == text) | (F.col("key") == text) | (F.col("name") == text))
+
+
+def column_overlaps(overlaps: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """What one column was measured against: ``other, direction, n_shared_values, own_coverage, other_coverage, ..., stale``.
+
+    ``direction`` is ``from`` where the measurement started at the column and ``to`` where it
+    ended there; coverages are told from the column's side either way.
+    """
+    here = with_staleness(overlaps, nodes).where((F.col("src") == column) | (F.col("dst") == column))
+    own = F.col("src") == column
+    side = lambda a, b: F.when(own, F.col(a)).otherwise(F.col(b))
+    return here.select(
+        side("dst", "src").alias("other"), F.when(own, "from").otherwise("to").alias("direction"), "n_shared_values",
+        side("left_coverage", "right_coverage").alias("own_coverage"), side("right_coverage", "left_coverage").alias("other_coverage"),
+        "comparable_types", "asked_because", "measured_at", "stale")
+
+
 # --- questions ------------------------------------------------------------------------
 
 

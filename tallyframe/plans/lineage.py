@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.plans.models import build_order
-from tallyframe.plans.spec import run_spec
+from tallyframe.plans.spec import run_spec, step_inputs
 from tallyframe.session import pin, small_frame
 
 STEP_COLUMNS = (
@@ -47,6 +47,20 @@ def step_columns(spark: SparkSession, models: dict[str, dict], **options) -> tup
     return small_frame(spark, rows, STEP_COLUMNS), depth
 
 
+def model_reads(spark: SparkSession, models: dict[str, dict]) -> DataFrame:
+    """``model, in_kind, in_table``: the sources (by path) and models that each model's steps name as inputs.
+
+    Taken from the declared inputs, so that a step whose columns cannot be traced, as one
+    of SQL, still reads what it reads.
+    """
+    rows = set()
+    for model, spec in models.items():
+        sources, steps = spec.get("sources") or {}, spec.get("steps") or []
+        for name in {n for step in steps for n in step_inputs(step)} - {step["id"] for step in steps}:
+            rows.add((model, "source", sources[name]) if name in sources else (model, "model", name))
+    return small_frame(spark, sorted(rows), "model string, in_kind string, in_table string")
+
+
 def compose(steps: DataFrame, depth: int) -> DataFrame:
     """Each model column's origins: ``model, column, in_kind, in_table, in_col, via, step``.
 
