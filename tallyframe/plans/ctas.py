@@ -70,6 +70,9 @@ def select_sql(results) -> str:
     """All steps of a model as one query, each step a CTE."""
     if not results:
         raise ValueError("a model without steps has nothing to compile")
+    unwritten = [r.id for r in results if r.compiled is None]
+    if unwritten:
+        raise ValueError(f"step(s) {', '.join(unwritten)} take several jobs and are no single statement")
     bodies = [f"{quoted(r.id)} AS (\n{r.compiled}\n)" for r in results]
     return "WITH " + ",\n".join(bodies) + f"\nSELECT * FROM {quoted(results[-1].id)}"
 

@@ -8,12 +8,14 @@ value on both sides.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.functions import kinds
 from tallyframe.operators.keys import named
+from tallyframe.session import small_frame
 
 # Fields that state a property of a table or join rather than its size, by their last part.
 INVARIANTS = ("relationship", "key_dtype_match", "unique", "how", "keys", "op", "kind", "dtype", "flags", "matches_prediction")
@@ -45,6 +47,25 @@ def drift_classes(before: DataFrame, after: DataFrame) -> DataFrame:
         *KEYS, "class", "before", "after", "distance")
 
 
+def drift_frame(expected: DataFrame, measured: DataFrame) -> DataFrame:
+    """Expected against measured ``(step, field, value)`` rows, where they differ."""
+    e, m = expected.alias("e"), measured.alias("m")
+    joined = e.join(m, ["step", "field"], "left")
+    return joined.where(~F.col("e.value").eqNullSafe(F.col("m.value"))).select(
+        "step", "field", F.col("e.value").alias("expected"), F.col("m.value").alias("actual")
+    )
+
+
+def step_drift(spark: SparkSession, step: str, expect: dict | None, measured: dict) -> dict:
+    """By field, what a step was expected to measure and what it did: the rows of ``drift_frame``, for showing."""
+    if not expect:
+        return {}
+    rows = lambda of: small_frame(
+        spark, [(step, name, json.dumps(of.get(name), sort_keys=True)) for name in expect], "step string, field string, value string")
+    found = drift_frame(rows(expect), rows(measured)).collect()  # of the fields named in one step
+    return {r.field: {"expected": json.loads(r.expected), "actual": json.loads(r.actual)} for r in found}
+
+
 def value_histograms(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, value, n``: how many rows hold each value, nulls included. Histograms of parts of a table add up.
 

@@ -7,34 +7,22 @@ a build that fails leaves the former in use. Measured overlaps are only ever add
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.plans.graph import EDGE_COLUMNS, NODE_COLUMNS, merge_build
-
-CURRENT = "CURRENT"
+from tallyframe.sources.versions import Versions
 
 
 class GraphStore:
     """Nodes, edges and overlaps under one folder that all executors see."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._files = self._fs.Path(self.path).getFileSystem(self._conf)
+        self.spark, self.versions = spark, Versions(spark, path)
+        self.path = self.versions.path
 
     def current(self) -> str | None:
         """The build in use, if there is one."""
-        path = self._fs.Path(f"{self.path}/{CURRENT}")
-        if not self._files.exists(path):
-            return None
-        stream = self._files.open(path)
-        try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        return self.versions.current()
 
     def _table(self, name: str, columns: dict[str, str]) -> DataFrame:
         build = self.current()
@@ -51,8 +39,7 @@ class GraphStore:
 
     def builds(self) -> list[str]:
         """The builds that are still there, by name."""
-        folder = self._fs.Path(f"{self.path}/builds")
-        return sorted(s.getPath().getName() for s in self._files.listStatus(folder)) if self._files.exists(folder) else []
+        return sorted(self.versions.by_age("builds"))
 
     def record(self, overlaps: DataFrame) -> None:
         """Add measurements (overlap edges keyed by column nodes). Nothing recorded is ever taken away."""
@@ -60,10 +47,9 @@ class GraphStore:
 
     def overlaps(self) -> DataFrame | None:
         """The latest measurement of every directed pair."""
-        folder = f"{self.path}/overlaps"
-        if not self._files.exists(self._fs.Path(folder)):
+        if not self.versions.exists("overlaps"):
             return None
-        kept = self.spark.read.parquet(folder)
+        kept = self.spark.read.parquet(f"{self.path}/overlaps")
         rest = [c for c in kept.columns if c not in ("src", "dst")]
         return kept.groupBy("src", "dst").agg(F.max_by(F.struct(*rest), "measured_at").alias("m")).select("src", "dst", "m.*")
 
@@ -87,24 +73,8 @@ class GraphStore:
         if doubled:
             raise ValueError(f"build {build!r}: more than one node has the id {doubled[0].id!r}")
         former = self.current()
-        self._swap(build)
+        self.versions.use(build)
         stay = {build, former} if keep > 1 else {build}
-        for old in [b for b in self._by_age() if b not in stay][:max(0, len(self.builds()) - keep)]:
-            self._files.delete(self._fs.Path(f"{self.path}/builds/{old}"), True)
-
-    def _swap(self, build: str) -> None:
-        """One rename over the file that names the build in use."""
-        beside = self._fs.Path(f"{self.path}/.{CURRENT}-{uuid.uuid4().hex}")
-        out = self._files.create(beside, True)
-        out.write(bytearray(build.encode()))
-        out.close()
-        gateway = self.spark.sparkContext._gateway
-        rename = getattr(self._fs, "Options$Rename")
-        how = gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        self._fs.FileContext.getFileContext(self._conf).rename(
-            self._files.makeQualified(beside), self._files.makeQualified(self._fs.Path(f"{self.path}/{CURRENT}")), how)
-
-    def _by_age(self) -> list[str]:
-        found = self._files.listStatus(self._fs.Path(f"{self.path}/builds"))
-        return [s.getPath().getName() for s in sorted(found, key=lambda s: s.getModificationTime())]
+        there = self.versions.by_age("builds")
+        for old in [b for b in there if b not in stay][:max(0, len(there) - keep)]:
+            self.versions.remove("builds", old)

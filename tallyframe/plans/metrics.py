@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.plans.drift import drift_frame
 from tallyframe.plans.spec import StepResult
 from tallyframe.session import small_frame
+from tallyframe.sources.table import PREVIEW_COLUMNS, PREVIEW_ROWS, preview
+
+__all__ = ["append_metrics", "drift_frame", "run_metrics", "step_previews", "step_rows"]
 
 SCHEMA = (
     "run string, model string, step_pos int, step string, op string, part string, "
@@ -49,13 +53,16 @@ def run_metrics(spark: SparkSession, run: str, model: str, results: list[StepRes
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.coalesce(1).write.mode("append").partitionBy("model").parquet(path)
+    """Add runs to a table of metrics; a (run, model) that is there already is replaced, not doubled."""
+    metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "model").parquet(path)
 
 
-def drift_frame(expected: DataFrame, measured: DataFrame) -> DataFrame:
-    """Expected against measured ``(step, field, value)`` rows, where they differ."""
-    e, m = expected.alias("e"), measured.alias("m")
-    joined = e.join(m, ["step", "field"], "left")
-    return joined.where(~F.col("e.value").eqNullSafe(F.col("m.value"))).select(
-        "step", "field", F.col("e.value").alias("expected"), F.col("m.value").alias("actual")
-    )
+def step_previews(spark: SparkSession, run: str, model: str, results: list[StepResult], rows: int = PREVIEW_ROWS,
+                  columns: int = PREVIEW_COLUMNS) -> DataFrame:
+    """``run, model, step_pos, step, n_rows, n_cols, place, row``: the first rows of every step's table, as JSON."""
+    out = []
+    for position, result in enumerate(results):
+        shown = preview(result.df, rows, columns)
+        out += [(run, model, position, result.id, shown["n_rows"], shown["n_cols"], place + 1, json.dumps(row, ensure_ascii=False))
+                for place, row in enumerate(shown["rows"])]
+    return small_frame(spark, out, "run string, model string, step_pos int, step string, n_rows bigint, n_cols int, place int, row string")

@@ -187,3 +187,71 @@ def test_a_yaml_project_from_files(spark, tables, tmp_path):
     with pytest.raises(ValueError, match="both name the model"):
         load_models(str(tmp_path / "specs"))
     assert readers.load_table(spark, f"{tmp_path}/otb.csv").schema["stay_date"].dataType.simpleString() == "date"
+
+
+def test_every_step_op_measures_what_it_did(spark):
+    from registry.specs import SHAPED
+
+    days = spark.createDataFrame(
+        [(1, "a", 5.0, 1), (1, "a", None, 2), (2, "b", 7.0, 3), (2, None, 1.0, 4), (None, "a", 9.0, 5)], "k int, g string, v double, t int")
+    marks = spark.createDataFrame([(1, 2, "x"), (2, 9, "y")], "k int, u int, what string")
+    steps = [
+        {"id": "some", "op": "filter", "input": "days", "where": "t < 5 AND g <> 'z'"},
+        {"id": "more", "op": "derive", "input": "some", "columns": {"v": "v * 2", "half": "v / 2"}, "expect": {"result_rows": 3}},
+        {"id": "full", "op": "impute", "input": "more", "column": "v", "by": ["g"], "rule": "max"},
+        {"id": "met", "op": "asof", "left": "full", "right": "marks", "keys": ["k"], "left_time": "t", "right_time": "u"},
+        {"id": "one", "op": "dedupe", "input": "met", "keys": ["k"], "order": ["-t"], "rules": {"half": "first"}, "grain": ["k"],
+         "expect": {"rows_dropped": 0}},
+    ]
+    spec = {"sources": {"days": "d.parquet", "marks": "m.parquet"}, "steps": steps}
+    found = run_spec(spark, spec, tables={"days": days, "marks": marks})
+    by = {r.id: r for r in found}
+    assert by["some"].provenance["rows_dropped"] == 2  # a condition that is null keeps no row
+    assert by["more"].provenance["columns"] == ["half", "v"] and by["more"].df.columns == ["k", "g", "v", "t", "half"]
+    assert (by["full"].provenance["n_missing"], by["full"].provenance["n_filled"]) == (1, 1)
+    assert by["met"].provenance["matched_left"] == 1 and by["met"].df.columns == ["k", "g", "v", "t", "half", "u", "what"]
+    assert sorted(map(tuple, by["one"].df.collect())) == [(1, "a", 10.0, 2, 2.5, 2, "x"), (2, "b", 14.0, 3, 3.5, None, None)]
+    assert by["one"].drift == {"rows_dropped": {"expected": 0, "actual": 1}} and by["one"].outcome["flags"] == []
+    assert {o.output: o.column for o in by["more"].origins}["half"] is None
+    for bad in ("t IN (SELECT k FROM other)", "reflect('a', 'b') = 'c'", "input_file_name() = ''", "1 = 1) UNION SELECT (1"):
+        with pytest.raises(Exception):
+            run_spec(spark, {"sources": {"days": "d"}, "steps": [{"id": "x", "op": "filter", "input": "days", "where": bad}]},
+                     tables={"days": days})
+    with pytest.raises(ValueError, match="no single statement"):
+        from tallyframe.plans import ctas
+
+        ctas.select_sql(found)
+    assert {s["op"] for s in SHAPED["steps"]} == {"filter", "derive", "impute", "asof", "dedupe"}
+
+
+def test_a_run_written_twice_is_there_once(spark, tables, tmp_path):
+    metrics = run_metrics(spark, "r1", "m", run(spark, tables, CLEAN))
+    for _ in range(2):
+        append_metrics(metrics, str(tmp_path / "kept"))
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == metrics.count()
+
+
+def test_a_failed_write_leaves_the_former_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "t.parquet")
+    writers.write_parquet(spark.range(3), path)
+    with pytest.raises(Exception, match="broken"):
+        writers.write_parquet(spark.range(5).select(F.when(F.col("id") > 3, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    # a table may be written from itself
+    writers.write_parquet(spark.read.parquet(path).where("id > 0"), path)
+    assert spark.read.parquet(path).count() == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t.parquet"]
+
+
+def test_measured_steps_are_computed_once(spark, tables, monkeypatch):
+    from tallyframe.operators import outcome
+
+    written = []
+    pin_counted = outcome.pin_counted
+    monkeypatch.setattr(outcome, "pin_counted", lambda df: written.append(df.columns) or pin_counted(df))
+    monkeypatch.setattr(outcome, "count_non_null", lambda df: pytest.fail("counted by a job of its own") if len(df.columns) > 8 else
+                        outcome.counted_from(outcome.positional(df).agg(*outcome.non_null_aggregates(df.columns)).first().asDict(), df.columns))
+    results = run(spark, tables, [*CLEAN, ONE_PER_DAY, SAFE])
+    assert len(written) == sum(r.op != "normalize" for r in results)
