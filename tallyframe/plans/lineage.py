@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.plans.models import build_order
 from tallyframe.plans.spec import run_spec, step_inputs
-from tallyframe.session import pin, small_frame
+from tallyframe.session import pin, pin_rows, small_frame
 
 STEP_COLUMNS = (
     "model string, step_pos int, step string, op string, out_col string, in_kind string, "
@@ -128,33 +128,32 @@ def unresolved(model_columns: DataFrame, composed: DataFrame) -> DataFrame:
 def origins(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``start, origin, hops``: where each start's trail ends, at the fewest hops.
 
-    ``edges`` is ``src, dst``; ``starts`` is ``start``. The edges that any start can reach
-    are found first, node by node. Origins then travel back along them, one hop a round,
-    and a node takes each of its origins up once, so that cycles end and the many starts
-    are met in the last rounds only. ``max_hops`` leaves out longer trails if given.
+    ``edges`` is ``src, dst``; ``starts`` is ``start``. The walk goes forward node by node, and
+    keeps the edges that any start can reach. Origins then travel back along those, one hop
+    a round, and a node takes each of its origins up once, so that cycles end and the many
+    starts are met in the last rounds only. ``max_hops`` leaves out longer trails if given.
     """
     every = pin(edges.select("src", "dst").distinct())
-    seen = [starts.select(F.col("start").alias("src")).distinct()]
-    while True:
+    frontier, n = pin_rows(starts.select(F.col("start").alias("src")).distinct())
+    seen = [frontier]
+    while n:
         known = reduce(DataFrame.unionByName, seen)
         further = every.join(seen[-1], "src").select(F.col("dst").alias("src")).distinct()
-        seen.append(pin(further.join(known, "src", "left_anti")))
-        if seen[-1].isEmpty():
-            break
-    live = pin(every.join(known, "src", "left_semi"))
-    ends = live.select(F.col("dst").alias("node")).distinct().join(
-        every.select(F.col("src").alias("node")), "node", "left_anti")
-    reached = [pin(ends.select("node", F.col("node").alias("origin"), F.lit(0).alias("hops")))]
-    while max_hops is None or len(reached) <= max_hops:
+        frontier, n = pin_rows(further.join(known, "src", "left_anti"))
+        seen.append(frontier)
+    live = pin(every.join(reduce(DataFrame.unionByName, seen), "src", "left_semi"))
+    # an edge to a node from which nothing goes on ends a trail
+    last = live.join(every.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti")
+    found, n = pin_rows(last.select(F.col("src").alias("node"), F.col("dst").alias("origin"), F.lit(1).alias("hops")))
+    reached = [found]
+    while n and (max_hops is None or len(reached) < max_hops):
         back = live.join(reached[-1], F.col("dst") == F.col("node")).select(
-            F.col("src").alias("node"), "origin", F.lit(len(reached)).alias("hops")).distinct()
+            F.col("src").alias("node"), "origin", F.lit(len(reached) + 1).alias("hops")).distinct()
         known = reduce(DataFrame.unionByName, reached).select("node", "origin")
-        found = pin(back.join(known, ["node", "origin"], "left_anti"))
-        if found.isEmpty():
-            break
+        found, n = pin_rows(back.join(known, ["node", "origin"], "left_anti"))
         reached.append(found)
-    trails = reduce(DataFrame.unionByName, reached).where(F.col("hops") > 0)
-    return trails.join(starts.select(F.col("start").alias("node")).distinct(), "node", "left_semi").select(
+    trails = reduce(DataFrame.unionByName, reached)
+    return trails.join(seen[0].withColumnRenamed("src", "node"), "node", "left_semi").select(
         F.col("node").alias("start"), "origin", "hops")
 
 
@@ -165,15 +164,13 @@ def impact(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) ->
     level adds nothing new.
     """
     back = pin(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")))
-    seen = starts.select(F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()
+    seen = pin(starts.select(F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
     frontier, hop = seen, 0
     while max_hops is None or hop < max_hops:
         hop += 1
         reached = frontier.join(back, "node").select(F.col("next").alias("node")).distinct()
-        frontier = pin(
-            reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
-        )
-        if frontier.isEmpty():
+        frontier, n = pin_rows(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        if not n:
             break
         seen = seen.unionByName(frontier)
     return seen.where(F.col("hops") > 0)

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -82,6 +82,13 @@ def pin(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pin_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """The pinned frame and how many rows it has, counted as they were written."""
+    seen = Observation()
+    table = pin(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]
+
+
 def hold(df: DataFrame) -> DataFrame:
     """Keep a frame for the length of one report; lost blocks are recomputed."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
