@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -63,6 +64,17 @@ def run_dir(spark: SparkSession) -> str:
 _OWN: set[str] = set()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, the shuffle files of every job go as soon as the job is done: for results that are not computed again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a Parquet table in the shared checkpoint folder.
 
@@ -73,12 +85,8 @@ def pin(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/pinned-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with shuffles_dropped(spark):
         df.write.option("compression", "snappy").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
