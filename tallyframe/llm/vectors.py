@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,22 +175,33 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     indexed in a grid of cells and search the nearest of them; pairs found are linked
     if their cosine is at least ``threshold`` in double precision. A cell of many
     vectors is compared in blocks, each of which returns counts and a spanning forest.
-    Vectors that are null, empty, zero or not finite, or of another length than the
-    first, link with nothing and are their own component. A row without vec_id links with
-    nothing either; its component is null.
+    Vectors of different lengths have no cosine: each length has an index of its own.
+    Vectors that are null, empty, zero or not finite link with nothing and are their own
+    component. A row without vec_id links with nothing either; its component is null.
     """
     spark = embeddings.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
     units = pin(embeddings.select("vec_id", "embedding").mapInArrow(_units, "vec_id bigint, unit binary"))
-    wide = units.agg(F.mode(F.octet_length("unit"))).first()[0]
-    alone = units.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
-                         F.lit(True).alias("kept"))
-    if not wide:
-        return alone.withColumn("kept", F.col("vec_id").isNotNull())
-    fits = F.coalesce(F.octet_length("unit") == wide, F.lit(False))
-    nodes = pin(units.where(fits).groupBy("unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
+    nodes = pin(units.where("unit IS NOT NULL").groupBy("unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
                 .select("node", "unit", "n"))
-    rows = nodes.count()
+    # a number per length that occurs
+    wide = sorted(r[0] for r in nodes.select(F.octet_length("unit")).distinct().collect())
+    if not wide:
+        return units.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"),
+                            F.col("vec_id").isNotNull().alias("kept"))
+    of = lambda size: nodes if len(wide) == 1 else nodes.where(F.octet_length("unit") == size)
+    found = reduce(DataFrame.unionByName, [_linked(of(size), size, threshold) for size in wide])
+    return units.join(found, "unit", "left").select(
+        "vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("root", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("root", "vec_id"), F.lit(False)).alias("kept"))
+
+
+def _linked(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
+    """``unit``, ``links`` and ``root`` of the nodes (node, unit, n) of one length, of ``size`` bytes."""
+    spark, rows = nodes.sparkSession, nodes.count()
+    if rows < 2 or size == 8:  # of one number there are two directions, which face each other
+        return nodes.select("unit", (F.col("n") - 1).alias("links"), F.col("node").alias("root"))
     codes = max(1, min(MAX_CODES, round(math.sqrt(rows / CELL_ROWS))))
     chosen = nodes.select("node", "unit").orderBy(F.xxhash64("node"), "unit").limit(SAMPLE_PER_CODE * codes + 2000).collect()
     fitted = fit(np.array([np.frombuffer(r[1], "<f8") for r in chosen]), rows, threshold)
@@ -213,9 +224,5 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
         partial(_block, threshold=threshold), "node bigint, links bigint, root bigint"))
     roots = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = met.groupBy("node").agg(F.sum("links").alias("links"))
-    found = pin(nodes.join(linked, "node", "left").join(roots, "node", "left").select(
+    return pin(nodes.join(linked, "node", "left").join(roots, "node", "left").select(
         "unit", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "node").alias("root")))
-    return units.join(found, "unit", "left").select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("root", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("root", "vec_id"), F.lit(False)).alias("kept"))

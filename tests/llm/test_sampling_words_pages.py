@@ -243,3 +243,31 @@ def test_extracted_pages_equal_the_plain_version(spark):
                   for b in re.split("</?(?:p|h1)>", article)]
         want.append((r.page_id, "\n".join(b for b in blocks if b)))
     assert sorted((r.page_id, r.text) for r in wrapper.extract(pages).collect()) == sorted(want)
+
+
+def test_vectors_of_every_length_link_among_themselves(spark):
+    from tallyframe.llm import vectors
+
+    pick = random.Random(11)
+    rows, at = [], 0
+    for length, count in ((2, 30), (3, 12), (1, 4), (5, 1), (8, 20)):
+        base = [[pick.gauss(0, 1) for _ in range(length)] for _ in range(3)]
+        for _ in range(count):
+            rows.append((at, [x + pick.gauss(0, 0.05) for x in pick.choice(base)]))
+            at += 1
+    rows += [(200, None), (201, []), (202, [0.0, 0.0]), (203, rows[0][1]), (204, [float("nan"), 1.0])]
+    unit = {i: np.array(v, np.float32).astype(float) for i, v in rows if v and np.any(v) and np.all(np.isfinite(v))}
+    near = {(i, j) for i, a in unit.items() for j, b in unit.items() if i != j and len(a) == len(b)
+            and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.95}
+    root = {i: i for i, _ in rows}
+    while True:
+        lower = {i: min([root[i], *(root[b] for a, b in near if a == i)]) for i in root}
+        if lower == root:
+            break
+        root = lower
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+    assert rows_of(got) == sorted((i, sum(a == i for a, _ in near), root[i], root[i] == i) for i, _ in rows)
+
+
+def rows_of(df):
+    return sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in df.collect())
