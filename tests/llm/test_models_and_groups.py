@@ -145,6 +145,25 @@ def test_near_documents_go_as_by_brute_force(spark, docs):
     assert corpus_pipeline.near_dedup(spark, docs().limit(0), DATA).count() == 0
 
 
+def test_near_documents_are_proposed_by_fingerprints_first(spark, docs, monkeypatch):
+    pick = random.Random(3)
+    base = [[f"w{pick.randint(0, 4000)}" for _ in range(400)] for _ in range(5)]
+    table = [(doc, " ".join([*base[doc % 5][:-1], f"x{doc}"])) for doc in range(60)]
+    table += [(100 + n, " ".join(f"v{pick.randint(0, 4000)}" for _ in range(50))) for n in range(20)]
+    nodes = shingles.coded(docs(*table)).cache()
+    prints = {r.node: r.print % 2 ** 64 for r in nodes.collect()}
+    assert prints == {r.node: simhash.fingerprint(t, 5) for r, (_, t) in zip(nodes.orderBy("doc_id").collect(), sorted(table))}
+    got = [(r.a, r.b) for r in shingles.similar_prints(nodes).collect()]
+    assert len(got) < len(prints) and all((prints[a] ^ prints[b]).bit_count() <= 4 for a, b in got)
+    linked = {n for a in prints for b in prints if a != b and (prints[a] ^ prints[b]).bit_count() <= 4 for n in (a, b)}
+    assert len(linked) > 40 and linked == {n for pair in got for n in pair}
+    asked, search = [], simhash.hamming_links
+    monkeypatch.setattr(simhash, "hamming_links", lambda found, limit: asked.append(limit) or search(found, limit))
+    kept = corpus_pipeline.near_dedup(spark, docs(*table), DATA)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(5), *range(100, 120)]
+    assert asked == [4] and dict(corpus_pipeline.STAGES)["SimHash near-dedup"] is corpus_pipeline.near_dedup
+
+
 def _probabilities(table, held):
     tokens = {d: [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"] for d, t in table}
     words, pairs, count = Counter(), Counter(), 0
