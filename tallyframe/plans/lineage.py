@@ -6,13 +6,14 @@ Chaining them gives ``DERIVES_FROM`` edges; walking edges gives origins and impa
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from tallyframe.plans.models import build_order
 from tallyframe.plans.spec import run_spec, step_inputs
-from tallyframe.session import pin, pin_rows, small_frame
+from tallyframe.session import hold, pin, pin_rows, small_frame
 
 STEP_COLUMNS = (
     "model string, step_pos int, step string, op string, out_col string, in_kind string, "
@@ -125,36 +126,61 @@ def unresolved(model_columns: DataFrame, composed: DataFrame) -> DataFrame:
 # --- walking ----------------------------------------------------------------------
 
 
+EDGES_A_CELL = 250_000  # edges that a task walks back over in a round
+FEW_STARTS = 4  # a walk forward comes first where the starts have less than one in so many edges
+
+
 def origins(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``start, origin, hops``: where each start's trail ends, at the fewest hops.
 
-    ``edges`` is ``src, dst``; ``starts`` is ``start``. The walk goes forward node by node, and
-    keeps the edges that any start can reach. Origins then travel back along those, one hop
-    a round, and a node takes each of its origins up once, so that cycles end and the many
-    starts are met in the last rounds only. ``max_hops`` leaves out longer trails if given.
+    ``edges`` is ``src, dst``; ``starts`` is ``start``. One shuffle by node drops repeated
+    edges, marks those of starts and of nodes with several. Origins then travel back, one hop a
+    round: the edges are kept dealt by their ends, so a round moves only what the one before
+    found. A node takes each of its origins up once, so that cycles end; a node with one edge
+    cannot meet an origin twice, and only the others are compared with what they have. Where
+    the starts are few, a walk forward first leaves out the edges that none can reach; it
+    saves work and changes no row. ``max_hops`` leaves out longer trails if given.
     """
-    every = pin(edges.select("src", "dst").distinct())
-    frontier, n = pin_rows(starts.select(F.col("start").alias("src")).distinct())
+    rows = edges.where("src IS NOT NULL").select("src", "dst", F.lit(True).alias("edge")).unionByName(
+        starts.select(F.col("start").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(False).alias("edge")))
+    node = Window.partitionBy("src")
+    seen = Observation()
+    every = pin(rows.repartition("src").distinct().select(
+        "src", "dst", "edge", (~F.min("edge").over(node)).alias("wanted"), (F.count_if("edge").over(node) > 1).alias("several"))
+        .where("edge").drop("edge").observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("wanted").alias("wanted")))
+    size = seen.get
+    live = every if FEW_STARTS * size["wanted"] >= size["n"] else _ahead(every)
+    by_end = hold(live.repartition(math.ceil(size["n"] / EDGES_A_CELL) or 1, "dst").sortWithinPartitions("dst"))
+    # an edge to a node from which nothing goes on ends a trail
+    goes_on = live.select(F.col("src").alias("dst")).distinct()
+    found, n = pin_rows(by_end.join(goes_on, "dst", "left_anti").select(
+        F.col("src").alias("node"), F.col("dst").alias("origin"), F.lit(1).alias("hops"), "wanted", "several"))
+    reached = [found]
+    while n and (max_hops is None or len(reached) < max_hops):
+        back = by_end.join(reached[-1].select(F.col("node").alias("dst"), "origin"), "dst").select(
+            F.col("src").alias("node"), "origin", F.lit(len(reached) + 1).alias("hops"), "wanted", "several")
+        repeats = Observation()
+        found = pin(back.observe(repeats, F.count(F.lit(1)).alias("n"), F.count_if("several").alias("several")))
+        n = repeats.get["n"]
+        if several := repeats.get["several"]:
+            known = reduce(DataFrame.unionByName, reached).where("several").select("node", "origin")
+            fresh, more = pin_rows(found.where("several").distinct().join(known, ["node", "origin"], "left_anti"))
+            found, n = found.where("NOT several").unionByName(fresh), n - several + more
+        reached.append(found)
+    by_end.unpersist()
+    return reduce(DataFrame.unionByName, reached).where("wanted").select(F.col("node").alias("start"), "origin", "hops")
+
+
+def _ahead(every: DataFrame) -> DataFrame:
+    """The edges that a start can reach, found node by node."""
+    frontier, n = pin_rows(every.where("wanted").select("src").distinct())
     seen = [frontier]
     while n:
         known = reduce(DataFrame.unionByName, seen)
         further = every.join(seen[-1], "src").select(F.col("dst").alias("src")).distinct()
         frontier, n = pin_rows(further.join(known, "src", "left_anti"))
         seen.append(frontier)
-    live = pin(every.join(reduce(DataFrame.unionByName, seen), "src", "left_semi"))
-    # an edge to a node from which nothing goes on ends a trail
-    last = live.join(every.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti")
-    found, n = pin_rows(last.select(F.col("src").alias("node"), F.col("dst").alias("origin"), F.lit(1).alias("hops")))
-    reached = [found]
-    while n and (max_hops is None or len(reached) < max_hops):
-        back = live.join(reached[-1], F.col("dst") == F.col("node")).select(
-            F.col("src").alias("node"), "origin", F.lit(len(reached) + 1).alias("hops")).distinct()
-        known = reduce(DataFrame.unionByName, reached).select("node", "origin")
-        found, n = pin_rows(back.join(known, ["node", "origin"], "left_anti"))
-        reached.append(found)
-    trails = reduce(DataFrame.unionByName, reached)
-    return trails.join(seen[0].withColumnRenamed("src", "node"), "node", "left_semi").select(
-        F.col("node").alias("start"), "origin", "hops")
+    return pin(every.join(reduce(DataFrame.unionByName, seen), "src", "left_semi"))
 
 
 def impact(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:

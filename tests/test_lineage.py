@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows_of
@@ -237,3 +238,33 @@ def test_subgraph(graph, spark):
     ids = {r["id"] for r in few.collect()}
     assert len(ids) == 5 and all({r["src"], r["dst"]} <= ids for r in within.collect())
     assert rows_of(G.actionable_zeros(overlaps)) == [] and G.overlap_rollup(overlaps).count() == 1
+
+
+def test_origins_equal_a_plain_walk_and_write_a_table_a_hop(spark, monkeypatch):
+    pick = random.Random(5)
+    pairs = [(f"n{pick.randint(0, 40)}", f"n{pick.randint(0, 60)}") for _ in range(70)] + [(f"t{i}", f"t{i + 1}") for i in range(12)]
+    pairs += [(f"s{i}", "t0") for i in range(9)] + [("n1", None), (None, "t3"), *pairs[:5]]
+    after = {a: {b for c, b in pairs if c == a} for a, _ in pairs if a}
+    written, write = [], L.pin
+    monkeypatch.setattr(L, "pin", lambda df: (written.append(df), write(df))[1])
+    monkeypatch.setattr(L, "pin_rows", lambda df: (found := L.pin(df), found.count()))
+
+    def plain(start):
+        ends, seen, level, hop = {}, {start}, [start] if start in after else [], 0
+        while level:
+            hop += 1
+            reached = {b for a in level for b in after[a]}
+            ends |= {(start, b, hop): 0 for b in reached if b not in after and b not in {o for _, o, _ in ends}}
+            level = [b for b in reached if b in after and b not in seen]
+            seen.update(level)
+        return set(ends)
+
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    for starts in (sorted({a for a, _ in pairs if a}), ["t11", "n1", "gone"]):
+        table = spark.createDataFrame([(s,) for s in [*starts, starts[0], None]], "start string")
+        got = L.origins(edges, table).collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == set().union(*map(plain, starts))
+    written.clear()
+    trail = edges.where("src LIKE 't%' OR src LIKE 's%'")
+    assert L.origins(trail, trail.selectExpr("src AS start")).count() == 21
+    assert len(written) <= 13 + 3
