@@ -58,18 +58,18 @@ def graph_column_nodes(spark, sf_dir):
 # nation, a nation from a region: the edges grow with the tables.
 
 
-def row_edges(spark, sf_dir) -> DataFrame:
+def row_edges(spark, sf_dir, parts: bool = True) -> DataFrame:
     def edge(table, label, key, to, target):
         return read(spark, sf_dir, table).select(
             F.concat(F.lit(f"{label}:"), F.col(key).cast("string")).alias("src"),
             F.concat(F.lit(f"{to}:"), F.col(target).cast("string")).alias("dst"))
 
-    return (
+    edges = (
         edge("orders", "order", "o_orderkey", "customer", "o_custkey")
-        .unionByName(edge("lineitem", "order", "l_orderkey", "part", "l_partkey"))
         .unionByName(edge("customer", "customer", "c_custkey", "nation", "c_nationkey"))
         .unionByName(edge("nation", "nation", "n_nationkey", "region", "n_regionkey"))
     )
+    return edges.unionByName(edge("lineitem", "order", "l_orderkey", "part", "l_partkey")) if parts else edges
 
 
 def lineage_origins(spark, sf_dir):
@@ -89,11 +89,13 @@ def lineage_origins_deep(spark, sf_dir):
     """Every line of an order comes from the line before it, the first from the order: trails of up to ten hops."""
     lines = read(spark, sf_dir, "lineitem")
     line = lambda n: F.concat_ws(":", F.lit("line"), F.col("l_orderkey").cast("string"), n.cast("string"))
-    each = lines.select("l_orderkey", F.explode(F.sequence(F.lit(1), F.col("l_linenumber").cast("int"))).alias("n")).distinct()
+    # the numbers from 1 to any of an order's lines are those to its least and to its greatest
+    ends = lines.groupBy("l_orderkey").agg(*[f("l_linenumber").cast("int").alias(n) for n, f in (("least", F.min), ("most", F.max))])
+    each = ends.select("l_orderkey", F.explode(F.array_union(*[F.sequence(F.lit(1), n) for n in ("least", "most")])).alias("n"))
     chain = each.select(line(F.col("n")).alias("src"), F.when(F.col("n") > 1, line(F.col("n") - 1)).otherwise(
         F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"))).alias("dst"))
-    above = row_edges(spark, sf_dir).where("dst NOT LIKE 'part:%'")
-    starts = lines.select(line(F.col("l_linenumber").cast("int")).alias("start")).distinct()
+    above = row_edges(spark, sf_dir, parts=False).where("dst IS NOT NULL")
+    starts = lines.select(line(F.col("l_linenumber").cast("int")).alias("start"))
     return L.origins(chain.unionByName(above), starts)
 
 
