@@ -29,6 +29,8 @@ from tallyframe.session import pin
 
 LEVELS = 10  # 1,024 cells; 2,047 nodes
 HOWS = ("inner", "left")
+TASK_PAIRS = 20_000_000  # pairs that a task looks at
+MOST_SPLITS = 1_000  # shares that one node is split into at the most
 _WIDE = "decimal(38,0)"
 
 
@@ -155,14 +157,46 @@ class IntervalJoin:
         path = F.array(*[F.shiftright("leaf", up) for up in range(LEVELS + 1)])
         asking = usable.withColumn("leaf", _cell(F.col("x"), self.kind, cuts) + (1 << LEVELS)).withColumn(
             "node", F.explode(F.filter(path, lambda n: there[n])))
-        match = reduce(and_, [asking[c] == stored[c] for c in [*self.keys, "node"]])
-        met = asking.join(stored, match & self.bounds.holds(F.col("x"), F.col("lo"), F.col("hi")))
+        asking, stored, at = self._dealt(asking, stored)
+        match = reduce(and_, [asking[c] == stored[c] for c in at]) & self.bounds.holds(F.col("x"), F.col("lo"), F.col("hi"))
         shown = [_read(c, self.left.columns, self.right.columns) for c in self.columns]
+        met = asking.join(stored, match).select(*shown)
         if how == "inner":
-            return met.select(*shown)
-        met = pin(met.select("row", *[f"r{i}" for i in range(len(self.right.columns))]))
-        # the right columns travel back to the rows; adaptive execution splits a row that meets many
-        return points.join(met, "row", "left").select(*shown)
+            return met
+        # the pairs go straight to the result; only which rows met any is looked up once more
+        hit = pin(asking.join(stored, match, "left_semi").select("row").distinct())
+        nothing = [F.lit(None).cast(f.dataType).alias(f"r{i}") for i, f in enumerate(self.right.schema.fields)]
+        return met.unionByName(points.join(hit, "row", "left_anti").select("*", *nothing).select(*shown))
+
+    def _dealt(self, asking: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+        """Both sides in as many tasks as their pairs need, and the columns on which they meet.
+
+        Where one node has more pairs than a task should, the side with more rows there is cut
+        into shares, and each meets all rows of the other side.
+        """
+        at = [*self.keys, "node"]
+        both = asking.groupBy(*at).agg(F.count("*").alias("a")).join(stored.groupBy(*at).agg(F.count("*").alias("b")), at)
+        loads = pin(both.withColumn("pairs", F.col("a").cast("double") * F.col("b")))
+        total, most = loads.agg(F.sum("pairs"), F.max("pairs")).first()
+        tasks = math.ceil((total or 0) / TASK_PAIRS)
+        if tasks <= 1:
+            return asking, stored, at
+        if most <= TASK_PAIRS:
+            return asking.repartition(tasks, *at), stored.repartition(tasks, *at), at
+        # no more nodes than tasks
+        large = loads.where(F.col("pairs") > TASK_PAIRS).select(
+            *at, F.least(F.ceil(F.col("pairs") / TASK_PAIRS), F.lit(MOST_SPLITS)).cast("int").alias("shares"),
+            (F.col("a") >= F.col("b")).alias("cut"))
+
+        def cut(df, own):
+            """A row of the side that is cut goes to one share, any other to all."""
+            place = F.pmod(F.col("place"), F.col("shares")).cast("int")
+            share = F.when(F.col("shares").isNull(), F.array(F.lit(0))).when(own, F.array(place)).otherwise(
+                F.sequence(F.lit(0), F.col("shares") - 1))
+            placed = df.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(large), at, "left")
+            return placed.withColumn("share", F.explode(share)).drop("place", "shares", "cut").repartition(tasks, *at, "share")
+
+        return cut(asking, F.col("cut")), cut(stored, ~F.col("cut")), [*at, "share"]
 
     def _cuts(self, points: DataFrame, spans: DataFrame) -> list[float]:
         """Quantiles of points and ends: 1,023 numbers, ascending, ready for a binary search."""

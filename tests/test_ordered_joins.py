@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe.operators import interval
 from tallyframe.operators.asof import asof_join
 from tallyframe.operators.interval import Bounds, IntervalJoin, band_join, interval_join
 from tallyframe.operators.ordered import running_sums
@@ -133,3 +134,29 @@ def test_running_sums_cross_cells(spark):
     got = {(r.k, r.t, r.v): r.upto for r in running_sums(table, ["k"], ["t"], {"upto": "v"}).collect()}
     first = lambda t: -1 if t is None else t
     assert got == {(k, t, v): sum(c for a, b, c in rows if a == k and first(b) <= first(t)) for k, t, v in rows}
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_pairs_are_dealt_over_tasks_and_hot_nodes_are_split(spark, monkeypatch, keyed):
+    monkeypatch.setattr(interval, "TASK_PAIRS", 500)
+    pick = random.Random(6)
+    left = [(n, pick.choice([1, 2]), pick.choice([5.0, 5.0, pick.uniform(0, 10), None])) for n in range(400)]
+    right = [(n, pick.choice([1, 2]), 5.0 if n < 60 else pick.uniform(0, 10)) for n in range(90)]
+    a, b = spark.createDataFrame(left, "i int, k int, x double"), spark.createDataFrame(right, "j int, k2 int, y double")
+    on = {"left_on": "k", "right_on": "k2"} if keyed else {}
+    both = band_join(a, b, left_value="x", right_value="y", below=0.25, above=0.5, **on)
+    near = [(i, j) for i, k, x in left for j, m, y in right if x is not None and y - 0.25 <= x <= y + 0.5 and (k == m or not keyed)]
+    inner, outer = both.join(), both.join("left")
+    assert inner.rdd.getNumPartitions() >= len(near) / 500
+    assert sorted((r.i, r.j) for r in inner.collect()) == sorted(near)
+    lone = {i for i, _, _ in left} - {i for i, _ in near}
+    assert lone and sorted(((r.i, r.j) for r in outer.collect()), key=str) == sorted(near + [(i, None) for i in lone], key=str)
+
+
+def test_a_left_band_join_writes_rows_and_no_pairs(spark, monkeypatch):
+    written, write = [], interval.pin
+    monkeypatch.setattr(interval, "pin", lambda df: (written.append(found := write(df)), found)[1])
+    a, b = spark.range(300).selectExpr("id", "id % 3 AS x"), spark.range(300).selectExpr("id AS other", "id % 3 AS y")
+    both = band_join(a, b, left_value="x", right_value="y", below=0, above=0)
+    assert both.join("left").count() == 30_000
+    assert max(t.count() for t in written) <= 300
