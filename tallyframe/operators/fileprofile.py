@@ -13,12 +13,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyframe import session
 from tallyframe.functions import kinds
 from tallyframe.functions.text import number_sql, strip_sql
 from tallyframe.operators.ordered import running_sums
 from tallyframe.operators.profile import COLUMN_SCHEMA, LONG_TEXT, SAMPLE_VALUES, with_rules
 from tallyframe.operators.quartiles import between, wanted_ranks
-from tallyframe.session import pin, small_frame
+from tallyframe.session import pin, small_frame, small_tasks
 from tallyframe.sources.files import fingerprint
 from tallyframe.sources.versions import Versions
 
@@ -55,6 +56,11 @@ class FileProfiles:
         return listed.select(F.col("_metadata.file_path").alias("path"),
                              fingerprint(F.col("length"), F.col("modificationTime")).alias("now"))
 
+    def _size(self) -> int:
+        """Bytes of all files together."""
+        listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self.dataset)
+        return listed.agg(F.sum("length")).first()[0] or 0
+
     def stale(self) -> DataFrame:
         """``path, state``: files that are ``new``, ``changed`` or ``gone`` since the last refresh. Reads no data."""
         return self._manifest().join(self._files(), "path", "full").select("path", F.when(F.col("now").isNull(), "gone").when(
@@ -88,14 +94,16 @@ class FileProfiles:
 
     def _count(self, paths: list[str], prints: dict[str, str]) -> list[tuple]:
         """Write the value counts of some files, each file's in a folder of its own; their manifest rows."""
-        rows, fields = self.changed_rows(paths), self.schema().fields
+        size, fields = self._size(), self.schema().fields
+        rows = spread(self.changed_rows(paths), size)
         cells = [F.struct(F.lit(i).alias("pos"), *_slots(f"c{i}", f.dataType)) for i, f in enumerate(fields)]
         cells.append(F.struct(F.lit(ROWS).alias("pos"), *_slots("true", None)))
         each = rows.select("file", F.inline(F.array(*cells)))
         present = (F.col("pos") == ROWS) | F.coalesce(F.col("whole").isNotNull() | F.col("number").isNotNull() | F.col("text").isNotNull(), F.lit(False))
         counts = each.where(present).groupBy("file", "pos", *_VALUE).agg(F.count("*").alias("n"))
         version = uuid.uuid4().hex
-        counts.write.partitionBy("file").parquet(f"{self.versions.path}/counts/{version}")
+        with small_tasks(self.spark, size):
+            counts.write.partitionBy("file").parquet(f"{self.versions.path}/counts/{version}")
         written = self.spark.read.schema("pos int, n bigint, file string").parquet(f"{self.versions.path}/counts/{version}")
         sizes = {r.file: r.n for r in written.where(F.col("pos") == ROWS).collect()}
         named = {r.path: r.file for r in small_frame(self.spark, [(p,) for p in paths], "path string").select(
@@ -121,6 +129,10 @@ class FileProfiles:
 
         Long texts among samples and modal values are looked up in the files, by digest.
         """
+        with small_tasks(self.spark, self._size()):
+            return self._profile(sample_values)
+
+    def _profile(self, sample_values: int) -> DataFrame:
         fields, counts = self.schema().fields, pin(self.counts())
         value = F.coalesce(F.col("whole").cast("double"), "number")
         at = counts.where(F.col("pos") >= 0)
@@ -179,6 +191,14 @@ class FileProfiles:
         return texts.where((F.left("t", F.lit(LONG_TEXT)) == text) & (F.unhex(F.sha2("t", 256)) == F.lit(bytes(digest)))).first()[0]
 
 
+def spread(rows: DataFrame, size: int) -> DataFrame:
+    """The rows of files of ``size`` bytes, dealt so that no task counts a whole large row group."""
+    tasks = -(-size // session.TASK_BYTES)
+    if tasks < 2:
+        return rows
+    return rows.withColumn("__place", F.monotonically_increasing_id()).repartition(tasks, "__place").drop("__place")
+
+
 def _slots(name: str, dtype) -> list:
     """A value in the slot of its kind; long text as its beginning, digest and marks."""
     kind = kinds.kind_of(dtype) if dtype is not None else None

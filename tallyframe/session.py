@@ -75,6 +75,25 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(_CLEANUP, before)
 
 
+TASK_BYTES = 8 << 20  # of files or shuffled rows that a task takes up within ``small_tasks``
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, size: int):
+    """Within it, jobs over ``size`` bytes take them up in small pieces: for tasks that hold what they group or sort."""
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    wanted = {"spark.sql.files.maxPartitionBytes": str(TASK_BYTES), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+              "spark.sql.shuffle.partitions": str(max(int(width), -(-size // TASK_BYTES)))}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a Parquet table in the shared checkpoint folder.
 

@@ -7,6 +7,8 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from tallyframe import session
+from tallyframe.operators import fileprofile
 from tallyframe.operators.fileprofile import FileProfiles
 from tallyframe.operators.profile import profile
 
@@ -76,3 +78,20 @@ def test_empty_files_and_a_failed_refresh(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert len(files.refresh().read) == 1
     same(files.profile(), profile(spark.read.parquet(data)))
+
+
+def test_one_large_file_is_counted_by_many_tasks(spark, tmp_path, monkeypatch):
+    data = str(tmp_path / "data")
+    table(spark, 0, 900).coalesce(1).write.parquet(data)
+    files = FileProfiles(spark, data, str(tmp_path / "state"))
+    size = os.path.getsize(parts(data)[0])
+    monkeypatch.setattr(session, "TASK_BYTES", size // 6)
+    rows = fileprofile.spread(files.changed_rows(parts(data)), size)
+    held = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert rows.count() == 900 and len(held) >= 6 and max(r["count"] for r in held) < 300
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with session.small_tasks(spark, size):
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= 6
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    files.refresh()
+    same(files.profile(), profile(spark.read.parquet(data)))
