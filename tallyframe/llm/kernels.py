@@ -63,24 +63,31 @@ def split(texts: pa.Array, gaps: str) -> Words:
     return Words(coded.dictionary, coded.indices.to_numpy().astype(np.int64), row.filter(real).to_numpy().astype(np.int64))
 
 
-HASHED_BYTES = 48
-_TABLE: list[np.ndarray] = []
-
-
-def hashed(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of words: for every byte a number drawn for its place and value, exclusive-ored; XXH64 for long words."""
-    if not _TABLE:  # the same numbers in every task
-        _TABLE.append(np.random.default_rng(20_240_229).integers(0, 1 << 64, HASHED_BYTES << 8, np.uint64))
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]]
-    starts, size = ends[:-1] - ends[0], np.diff(ends)
-    place = np.arange(len(data)) - np.repeat(starts, size)
-    mixed = _TABLE[0].take((np.minimum(place, HASHED_BYTES - 1) << 8) + data)
-    out = np.bitwise_xor.reduceat(mixed, starts)
-    for at in np.flatnonzero(size > HASHED_BYTES):
-        out[at] = xxhash.xxh64_intdigest(data[starts[at]:starts[at] + size[at]].tobytes())
+HASHED_BYTES = 64
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers, each bit of which hangs on all bits of the given ones (the last step of SplitMix64)."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at ``starts`` of ``data``, which has eight bytes more after the last one.
+
+    Words are taken up eight bytes at a time, all words side by side; long ones by XXH64.
+    """
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = mixed((eight[starts] & _KEPT[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    for at in range(8, HASHED_BYTES, 8):
+        more = np.flatnonzero(sizes > at)
+        if not len(more):
+            return out
+        out[more] = mixed(out[more] ^ (eight[starts[more] + at] & _KEPT[np.minimum(sizes[more] - at, 8)]))
+    for at in np.flatnonzero(sizes > HASHED_BYTES):
+        out[at] = xxhash.xxh64_intdigest(data[starts[at]:starts[at] + sizes[at]].tobytes())
     return out
 
 

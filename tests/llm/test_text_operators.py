@@ -2,9 +2,11 @@
 
 import os
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_tables import docs, rows  # noqa: F401
 from pyspark.sql import functions as F
@@ -152,6 +154,41 @@ def test_later_rows_of_a_large_group_of_near_lines_go(docs):
     assert [r.doc_id for r in left] == [0]
 
 
+def test_a_second_look_at_lines_reads_their_partners_documents_only(docs, monkeypatch):
+    base = [f"w{n}" for n in range(35)]
+    near = [base + [f"x{n}_{k}" for k in range(5)] for n in range(60)]  # 35 of 45 words shared: not similar
+    table = [(n, " ".join(words)) for n, words in enumerate(near)]
+    table += [(n, " ".join(f"z{n}_{k}" for k in range(8))) for n in range(100, 300)]
+    table.append((500, " ".join(near[40][:-1] + ["y"])))  # like one line, after many that only seem so
+    read, sets = [], lines._with_sets
+    monkeypatch.setattr(lines, "_with_sets", lambda texts, *others: (read.append(texts.count()), sets(texts, *others))[1])
+    left = lines.deduplicate(docs(*table))
+    assert rows(left, "doc_id", "text") == sorted(table[:-1] + [(500, "")], key=str)
+    assert len(read) == 2 and read[0] == 261 and read[1] <= 61
+
+
+def test_words_of_lines_are_sent_packed():
+    pick, vocabulary = random.Random(4), [f"w{n}" for n in range(3000)]
+    text = "\n".join(" ".join(pick.sample(vocabulary, 12)) for _ in range(3000))
+    batch = pa.RecordBatch.from_pydict({"doc": [1], "text": [text]})
+    counts = SimpleNamespace(value=np.full(1 << lines.SKETCH_BITS, 2, np.uint8))
+    sent = list(lines._prefixes(iter([batch]), counts, 0.8))
+    assert sum(len(b["rows"].to_pylist()) for b in sent) <= lines.BUCKETS
+    assert sum(len(lines._unpacked(b["rows"], lines.PREFIX)) for b in sent) == 3 * 3000
+
+
+def test_words_whose_hashes_differ_in_the_last_bits_stay_apart(monkeypatch):
+    hashed = lines.hashed
+    monkeypatch.setattr(lines, "hashed", lambda *words: (hashed(*words) & np.uint64(7)) | np.uint64(1 << 60))
+    texts = ["a b c d e f g h i j k l m\nq r s t a b c q r s", None, "", "x y z\n\na a b"]
+    for levels in (None, np.zeros(1 << lines.SKETCH_BITS, np.uint8)):
+        found = lines.read_lines(pa.array([1, 2, 3, 4]), pa.array(texts), levels)
+        sets = np.split(found.words, found.start[1:])
+        assert [(d, a) for d, a in zip(found.doc, found.at)] == [(1, 0), (1, 1), (4, 0), (4, 2)]
+        assert all((np.diff(words) > 0).all() for words in sets)
+        assert [len(words) for words in sets] == found.n.tolist()
+
+
 def test_repeated_windows_go_from_later_documents(docs):
     pick = random.Random(5)
     passages = [[f"p{k}_{n}" for n in range(20)] for k in range(4)]
